@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, near_dedup, quality_rules
+from . import bpe, decontamination, line_dedup, near_dedup, quality_rules
 from .runtime import table
 
 
@@ -14,6 +14,14 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -26,10 +34,13 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontamination": op2_decontamination,
+    "op3_line_dedup": op3_line_dedup,
     "op4_bpe": op4_bpe,
     "op8_quality_rules": op8_quality_rules,
     "op10_near_dedup": op10_near_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op3_line_dedup": line_dedup.ORACLE_SQL,
     "op8_quality_rules": quality_rules.ORACLE_SQL,
 }

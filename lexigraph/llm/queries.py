@@ -6,10 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, line_dedup, near_dedup, quality_rules
+from . import bpe, chat_format, decontamination, line_dedup, near_dedup, quality_rules, sharding, substring_dedup
 from .runtime import table
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat_format.read_back(chat_format.format_chats(given.unionByName(added)))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -29,6 +36,14 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnsRenamed({"ids": "ids_sha256", "decoded": "decoded_sha256"})
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeats(table(spark, sf_dir, "documents"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -37,10 +52,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_line_dedup": op3_line_dedup,
     "op4_bpe": op4_bpe,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op7_sharding": op7_sharding,
     "op8_quality_rules": op8_quality_rules,
+    "op9_chat_format": op9_chat_format,
     "op10_near_dedup": op10_near_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": line_dedup.ORACLE_SQL,
     "op8_quality_rules": quality_rules.ORACLE_SQL,
+    "op9_chat_format": chat_format.ORACLE_SQL,
 }

@@ -63,6 +63,29 @@ def filled(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return column.fill_null("")
 
 
+def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of each maximal run of bytes that are inside, none across texts; offsets: where texts begin and end."""
+    edge = np.zeros(len(inside) + 1, np.int8)
+    if len(inside) > 1:
+        edge[1:-1] = inside[1:].view(np.int8) - inside[:-1].view(np.int8)
+    begin, stop = edge == 1, edge == -1
+    if len(inside):
+        begin[0], stop[-1] = inside[0], inside[-1]
+        inner = offsets[1:-1]
+        inner = inner[(inner > 0) & (inner < len(inside))]
+        both = inner[inside[inner] & inside[inner - 1]]
+        begin[both] = stop[both] = True
+    return np.flatnonzero(begin), np.flatnonzero(stop)
+
+
+def lowered(raw: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with A-Z and the Latin-1 capitals in lower case; no length changes."""
+    out = _LOWER[raw]
+    if len(out) > 1:
+        out[1:][(out[:-1] == 0xC3) & (out[1:] >= 0x80) & (out[1:] <= 0x9E) & (out[1:] != 0x97)] += 32
+    return out
+
+
 class Words:
     """The words of a slice of texts.
 
@@ -70,7 +93,7 @@ class Words:
     first: index of each text's first word.
     """
 
-    def __init__(self, texts: pa.Array, kind: np.ndarray = WORD, lower: bool = True):
+    def __init__(self, texts: pa.Array, kind: np.ndarray = WORD, lower: bool | str = True):
         n = len(texts)
         wide = pa.types.is_large_string(texts.type)
         offsets = np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64)
@@ -78,18 +101,8 @@ class Words:
         data = texts.buffers()[2]
         self.bytes = np.frombuffer(data, np.uint8)[base : int(offsets[-1])] if data is not None else np.zeros(0, np.uint8)
         self.offsets = offsets = offsets - base
-        raw = _LOWER[self.bytes] if lower else self.bytes
-        word = kind[raw]
-        edge = np.zeros(len(word) + 1, np.int8)
-        edge[1:-1] = word[1:].view(np.int8) - word[:-1].view(np.int8) if len(word) > 1 else 0
-        begin, stop = edge == 1, edge == -1
-        if len(word):
-            begin[0], stop[-1] = word[0], word[-1]
-            inner = offsets[1:-1]
-            inner = inner[(inner > 0) & (inner < len(word))]
-            both = inner[word[inner] & word[inner - 1]]
-            begin[both] = stop[both] = True
-        self.start, self.end = np.flatnonzero(begin), np.flatnonzero(stop)
+        raw = lowered(self.bytes) if lower == "latin" else _LOWER[self.bytes] if lower else self.bytes
+        self.start, self.end = runs(kind[raw], offsets)
         power, inverse = _power(len(raw) + 1)
         sums = np.zeros(len(raw) + 1, U)
         np.cumsum(_BYTE[raw] * power[: len(raw)], out=sums[1:])

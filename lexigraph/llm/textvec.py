@@ -106,11 +106,18 @@ class Words:
         power, inverse = _power(len(raw) + 1)
         sums = np.zeros(len(raw) + 1, U)
         np.cumsum(_BYTE[raw] * power[: len(raw)], out=sums[1:])
+        self._sums, self._inverse = sums, inverse
         self.hash = mix((sums[self.end] - sums[self.start]) * inverse[self.start] + (self.end - self.start).astype(U))
         self.row = np.searchsorted(offsets, self.start, "right") - 1
         self.count = np.bincount(self.row, minlength=n)
         self.first = np.concatenate([[0], np.cumsum(self.count)[:-1]])
 
+    def prefixes(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of the first k bytes, and index, of each word with more than k bytes."""
+        at = np.flatnonzero(self.end - self.start > k)
+        start = self.start[at]
+        return mix((self._sums[start + k] - self._sums[start]) * self._inverse[start] + U((k << 32) + 1)), at
+
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash and text of each window of k words."""
         n = len(self.hash) - k + 1

@@ -19,7 +19,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
@@ -313,7 +313,7 @@ def compiled(path: str) -> Tokenizer:
     return Tokenizer(path)
 
 
-def _run(shared, digest: bool):
+def _run(shared, ids_digest: bool, text_digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = shared.value
         for batch in batches:
@@ -321,17 +321,15 @@ def _run(shared, digest: bool):
             for at, to in tv.slices(texts):
                 ids, labels = zip(*tokenizer.encoded(texts.slice(at, to - at).to_pylist()))
                 n = pa.array([len(x) // 4 for x in ids], pa.int64())
-                if digest:
-                    cols = [pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in labels])]
-                else:
-                    cols = [pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array(labels, pa.string())]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, to - at), n, *cols], ["doc_id", "n_tokens", "ids", "decoded"])
+                first = pa.array([hashlib.sha256(x).hexdigest() for x in ids]) if ids_digest else pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in ids], pa.list_(pa.int32()))
+                second = pa.array([hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() if text_digest else x for x in labels], pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, to - at), n, first, second], ["doc_id", "n_tokens", "ids", "decoded"])
 
     return run
 
 
-def encode_documents(docs: DataFrame, path: str, digest: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids and decoded text of each row of docs (doc_id, text); digest: their SHA-256 in hex instead.
+def encode_documents(docs: DataFrame, path: str, ids_digest: bool = False, text_digest: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids and decoded text of each row of docs (doc_id, text), or SHA-256 digests of those in hex.
 
     A null text counts as empty: no tokens, an empty text. Rows aren't matched with one another, so repeated rows and
     ids just give a row each; other columns are ignored; an empty table gives an empty result. path: a tokenizer file
@@ -341,5 +339,12 @@ def encode_documents(docs: DataFrame, path: str, digest: bool = False) -> DataFr
     ship(spark)
     shared = spark.sparkContext.broadcast(compiled(path))
     kind = dict(docs.dtypes)["doc_id"]
-    ids, text = ("string", "string") if digest else ("array<int>", "string")
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_run(shared, digest), f"doc_id {kind}, n_tokens long, ids {ids}, decoded {text}")
+    ids = "string" if ids_digest else "array<int>"
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_run(shared, ids_digest, text_digest), f"doc_id {kind}, n_tokens long, ids {ids}, decoded string")
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage, the last: doc_id, n_tokens, ids, and the digest of the decoded text."""
+    import public_tokenizers
+
+    return encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), text_digest=True).withColumnRenamed("decoded", "decoded_sha256")

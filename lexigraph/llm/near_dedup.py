@@ -202,7 +202,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
     Words are maximal runs of characters other than ASCII white space, with A-Z in lower case. Documents are linked when
     100 * intersection >= percent * union of their sets; component_id is the least doc_id that can be reached. A null or
     empty text, or one without words, has an empty set and is linked with nothing. Rows that share a doc_id count as one
-    document, whatever their texts. Other columns are ignored; an empty table gives an empty result.
+    document, whatever their texts; a row without a doc_id has its class's component, or none. Other columns are ignored; an empty table gives an empty result.
     """
     sk = staged(sketches(docs, shingle), "sketch")
     full = sk.where("n_shingles > 0")
@@ -249,7 +249,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
     nodes = classes.join(labels, "node", "left").select("d1", "d2", "n_shingles", F.coalesce("label", "node").alias("component"))
     out = sk.select("doc_id", "n_shingles", "d1", "d2").join(nodes, ["d1", "d2", "n_shingles"], "left")
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -257,6 +257,11 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows without a doc_id can't be told apart and all stay.
     """
-    kept = near_duplicates(docs.where("doc_id IS NOT NULL"), shingle=5).where("kept").select("doc_id").distinct()
-    first = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return first.unionByName(docs.where("doc_id IS NULL"))
+    gone = near_duplicates(docs.where("doc_id IS NOT NULL"), shingle=5).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = staged(gone, "gone")
+    left = docs.join(small(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    again = staged(left.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_again")), "again")
+    if again.isEmpty():
+        return left
+    same = F.col("doc_id") == F.col("_again")
+    return left.join(small(again), same, "left_anti").unionByName(left.join(small(again), same, "left_semi").dropDuplicates(["doc_id"]))

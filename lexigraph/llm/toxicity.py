@@ -21,7 +21,7 @@ from .runtime import ship, staged
 #: Labelled rows to learn from, at most: the first of each class by hash of doc_id.
 TOXIC_ROWS, OTHER_ROWS = 4000, 8000
 FEATURES = 4096
-LEAST_DOCS = 5
+LEAST_DOCS = 3
 PREFIXES = (3, 4, 5, 6, 7)
 GRADES = 3
 
@@ -95,7 +95,7 @@ class Model:
         return np.bincount(row, np.log1p(n) * self.weights[f] if len(f) else None, minlength=len(w.count))
 
 
-def fit_ordinal(row: np.ndarray, f: np.ndarray, x: np.ndarray, grade: np.ndarray, n_features: int, grades: int, l2: float = 1e-3, steps: int = 400, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(row: np.ndarray, f: np.ndarray, x: np.ndarray, grade: np.ndarray, n_features: int, grades: int, l2: float = 3e-5, steps: int = 600, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of the cumulative-link model, by Adam on the whole (sparse) matrix. Thresholds are the first
     and the logarithms of the gaps, so they stay in order."""
     n = len(grade)

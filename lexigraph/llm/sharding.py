@@ -1,8 +1,8 @@
 """Shards of nearly equal bytes by histogram sort; DataFrame functions only.
 
 Rows are ordered by a 64-bit hash of their text, so equal texts lie together. Splitters are found without moving rows:
-each round counts the exact bytes and rows in 4096 candidate bins, partly on the map side, and only bins that a splitter
-needs, or that hold too much, are refined by the next bits: twice by the text's hash, then, for a text so frequent that
+each round counts the exact bytes and rows in 4096 candidate bins, partly on the map side, and only the bins in which a
+splitter's target falls, or that hold too many rows, are refined by the next bits: twice by the text's hash, then, for a text so frequent that
 one hash holds too much, by a hash of doc_id. Then one exchange, by bin, numbers the rows.
 """
 
@@ -16,7 +16,7 @@ from .runtime import small, staged
 
 BITS = 12
 SHARDS = 8
-#: Splitters may miss their target by this share of a shard's bytes, or half a bin that can't be refined.
+#: Splitters may miss their target by this share of a shard's bytes, or by half a text.
 TOLERANCE = 0.002
 #: Rows in a bin beyond which it is refined, so that no task numbers more at a time if its rows can be told apart.
 BIN_ROWS = 1_000_000
@@ -31,8 +31,11 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def heavy(bins: DataFrame, by: list[str], total: int, shards: int) -> DataFrame:
-    """The bins to refine: too many bytes for the tolerance, or too many rows. At most 2 * shards / TOLERANCE of the former."""
-    return bins.where((F.col("bytes") > total * TOLERANCE / shards / 2) | (F.col("rows") > BIN_ROWS)).where("rows > 1").select(*by)
+    """The bins to refine, of bins with `start`, the bytes before them: those of more bytes than the tolerance in which a
+    splitter's target falls (one a splitter at most), or of too many rows."""
+    target = lambda at: F.floor(at * shards / F.lit(total))
+    split = (target(F.col("start")) != target(F.col("start") + F.col("bytes"))) & (F.col("bytes") > total * TOLERANCE / shards)
+    return bins.where(split | (F.col("rows") > BIN_ROWS)).where("rows > 1").select(*by)
 
 
 def shard_of(above: Column, size: Column, total: int, shards: int) -> Column:
@@ -47,17 +50,18 @@ def bins_of(rows: DataFrame) -> DataFrame:
 def placed(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     """rows (as of sized, written before) with shard and slot."""
     total = rows.agg(F.sum("size")).first()[0] or 1
-    first = staged(bins_of(rows.groupBy("b1")), "bins")
-    big1 = heavy(first, ["b1"], total, shards)
-    second = staged(bins_of(rows.join(F.broadcast(big1), "b1").groupBy("b1", "b2")), "bins")
+    order = lambda *part: W.partitionBy(*part)
+    first = staged(bins_of(rows.groupBy("b1")).withColumn("start", F.sum("bytes").over(W.orderBy("b1")) - F.col("bytes")), "bins")
+    big1 = staged(heavy(first, ["b1"], total, shards), "heavy")
+    second = bins_of(rows.join(F.broadcast(big1), "b1").groupBy("b1", "b2")).join(F.broadcast(first.select("b1", "start")), "b1")
+    second = second.withColumn("start", F.col("start") + F.sum("bytes").over(order("b1").orderBy("b2")) - F.col("bytes"))
     big2 = staged(heavy(second, ["b1", "b2"], total, shards).withColumn("deep", F.lit(True)), "heavy")
     # A bin's name: b1, then b2 where b1 is heavy, then b3 where (b1, b2) is; -1 where it isn't refined.
     marked = rows.join(F.broadcast(big1.withColumn("wide", F.lit(True))), "b1", "left").join(small(big2), ["b1", "b2"], "left")
     name = marked.withColumn("n2", F.when(F.col("wide"), F.col("b2")).otherwise(-1)).withColumn("n3", F.when(F.col("deep"), F.col("b3")).otherwise(-1))
     bins = staged(bins_of(name.groupBy("b1", "n2", "n3")), "bins")
     # Bytes before a bin: those before its b1, before its b2 therein, and before it therein; so no window is over all bins.
-    order = lambda *part: W.partitionBy(*part)
-    b1 = first.select("b1", (F.sum("bytes").over(W.orderBy("b1")) - F.col("bytes")).alias("o1"))
+    b1 = first.select("b1", F.col("start").alias("o1"))
     inner = bins.withColumn("o2", F.sum("bytes").over(order("b1").orderBy("n2", "n3")) - F.col("bytes"))
     at = inner.join(F.broadcast(b1), "b1").withColumn("shard", shard_of(F.col("o1") + F.col("o2"), F.col("bytes"), total, shards))
     at = staged(at, "placed")

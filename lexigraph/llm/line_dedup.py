@@ -56,40 +56,45 @@ def recurring(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text and any others) with a struct column _lines: text (without the dropped lines), n_lines, dropped
-    (line numbers), whole (left as it is because too little would remain).
+    """r (the row of docs as a struct) and d: text (without the dropped lines), n_lines, dropped (line numbers), whole (left
+    as it is because too little would remain).
 
     A null text has no lines and stays null; repeated rows, and rows with one doc_id and text, are treated alike; a
     document counts by its text, so exact copies make nothing recur.
     """
-    gone = recurring(docs).distinct().groupBy("doc_id", "h").agg(F.sort_array(F.collect_list("line")).alias("gone")).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("gone").alias("_gone"))
-    text = F.col("text").cast("string")
-    j = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_h")), "left")
+    gone = recurring(docs).distinct().groupBy("doc_id", "h").agg(F.sort_array(F.collect_list("line")).alias("gone"))
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("r"))
+    text = F.col("r.text").cast("string")
+    j = row.join(gone, F.col("r.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64(text) == F.col("h")), "left")
     parts = F.split(text, "\n", -1)
-    left = F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_gone", i)), "\n"))
+    left = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("gone", i)), "\n"))
     whole = F.length(left) * 100 < F.length(text) * LEFT
     result = F.struct(
         F.when(whole, text).otherwise(left).alias("text"),
         F.coalesce(F.size(parts), F.lit(0)).alias("n_lines"),
-        F.when(F.coalesce(whole, F.lit(True)) | F.col("_gone").isNull(), F.array().cast("array<int>")).otherwise(F.col("_gone")).alias("dropped"),
+        F.when(F.coalesce(whole, F.lit(True)) | F.col("gone").isNull(), F.array().cast("array<int>")).otherwise(F.col("gone")).alias("dropped"),
         F.coalesce(whole, F.lit(False)).alias("whole"),
     )
-    return j.withColumn("_lines", result).drop("_id", "_h", "_gone")
+    return j.select("r", result.alias("d"))
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
-    """One row a row of docs: doc_id, n_lines, n_dropped, dropped (line numbers joined by a comma), whole, text."""
+    """One row a row of docs: doc_id, n_lines, n_dropped, dropped (line numbers joined by a comma), whole, text.
+
+    Null, empty and very long texts, repeated rows and clashing names: as of deduplicated; an empty table gives an empty
+    result.
+    """
     d = deduplicated(docs.select("doc_id", "text"))
-    return d.select("doc_id", F.col("_lines.n_lines").cast("long").alias("n_lines"), F.size("_lines.dropped").cast("long").alias("n_dropped"), F.array_join("_lines.dropped", ",").alias("dropped"), "_lines.whole", "_lines.text")
+    return d.select("r.doc_id", F.col("d.n_lines").cast("long").alias("n_lines"), F.size("d.dropped").cast("long").alias("n_dropped"), F.array_join("d.dropped", ",").alias("dropped"), "d.whole", "d.text")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents without their recurring lines; n_chars follows the text."""
     d = deduplicated(docs)
-    new = {"text": F.col("_lines.text")}
+    new = {"text": F.col("d.text")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.length(F.col("_lines.text")).cast(docs.schema["n_chars"].dataType)
-    return d.withColumns(new).select(*(f"`{c}`" for c in docs.columns))
+        new["n_chars"] = F.length(F.col("d.text")).cast(docs.schema["n_chars"].dataType)
+    return d.select(*((new[c] if c in new else F.col("r")[c]).alias(c) for c in docs.columns))
 
 
 ORACLE_SQL = r"""

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .runtime import ship, small, staged
+from .runtime import fresh, ship, small, staged
 
 M = 128
 BAND = 4
@@ -257,11 +257,12 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows without a doc_id can't be told apart and all stay.
     """
-    gone = near_duplicates(docs.where("doc_id IS NOT NULL"), shingle=5).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    g, a = fresh(docs, "gone"), fresh(docs, "again")
+    gone = near_duplicates(docs.where("doc_id IS NOT NULL"), shingle=5).where("NOT kept").select(F.col("doc_id").alias(g)).distinct()
     gone = staged(gone, "gone")
-    left = docs.join(small(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
-    again = staged(left.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_again")), "again")
+    left = docs.join(small(gone), F.col("doc_id") == F.col(g), "left_anti")
+    again = staged(left.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(a)), "again")
     if again.isEmpty():
         return left
-    same = F.col("doc_id") == F.col("_again")
+    same = F.col("doc_id") == F.col(a)
     return left.join(small(again), same, "left_anti").unionByName(left.join(small(again), same, "left_semi").dropDuplicates(["doc_id"]))

@@ -1,72 +1,13 @@
-"""What the operators of this subpackage share: shipping code to the workers, and tables that cut lineage."""
+"""What the operators of this subpackage share."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A table of at most this many rows of fixed width (ids, numbers) may be broadcast; beyond it the join is shuffled.
-BROADCAST_ROWS = 2_000_000
-
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Give the Python workers this package, once per application.
-
-    The archive is written on the driver and served by Spark itself, so the executors need no shared code folder.
-    """
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp(prefix="code-")) / f"{root.name}.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    spark.sparkContext.addPyFile(str(archive))
-    _shipped.add(app)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: ``spark.checkpoint.dir``. Only where it is unset (tests, one machine) a local one."""
-    got = spark.conf.get("spark.checkpoint.dir", None)
-    if not got:
-        got = f"file://{os.path.join(tempfile.gettempdir(), 'lexigraph-shared-' + spark.sparkContext.applicationId)}"
-        spark.conf.set("spark.checkpoint.dir", got)
-    return got.rstrip("/")
-
+from ..storage import BROADCAST_ROWS, clear_staged, shared_dir, ship, small, staged
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage is cut, and a lost executor loses nothing.
-
-    The files live until ``clear_staged``; the folder's name holds the application's id.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/staged/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def clear_staged(spark: SparkSession) -> None:
-    """Delete this application's staged tables. Call it once all results that read them are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/staged/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if its counted rows are within the limit, else df for a shuffled join.
-
-    For tables of fixed-width columns only, so that the bound on rows bounds the bytes.
-    """
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= limit else df
+__all__ = ["BROADCAST_ROWS", "bind", "clear_staged", "fresh", "shared_dir", "ship", "small", "staged", "table"]
 
 
 def bind(value: Column, body) -> Column:
@@ -74,5 +15,13 @@ def bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with as many leading underscores as no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -14,9 +14,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import textvec as tv
-from .runtime import ship, staged
+from .runtime import fresh, ship, staged
 
 #: Shorter units are left: they recur by chance.
 LEAST_WORDS = 8
@@ -97,6 +98,8 @@ def _cut(text: pd.Series, spans: pd.Series) -> pd.Series:
 
 def removed(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs with the spans in gone (as of repeats) cut out of their texts."""
-    lists = gone.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("start", "stop")).alias("_gone"))
-    cut = F.pandas_udf(_cut, "string")
-    return docs.join(lists, F.col("doc_id") == F.col("_id"), "left").withColumn("text", cut(F.col("text"), F.col("_gone"))).drop("_id", "_gone")
+    k, g = fresh(docs, "cut_id"), fresh(docs, "cut")
+    lists = gone.groupBy(F.col("doc_id").alias(k)).agg(F.collect_set(F.struct("start", "stop")).alias(g))
+    ship(docs.sparkSession)
+    cut = F.pandas_udf(_cut, StringType())
+    return docs.join(lists, F.col("doc_id") == F.col(k), "left").withColumn("text", cut(F.col("text"), F.col(g))).drop(k, g)

@@ -196,6 +196,26 @@ def components(edges: DataFrame) -> DataFrame:
     return e.groupBy("u").agg(F.min("v").alias("label")).withColumnRenamed("u", "node")
 
 
+def star_pairs(labelled: DataFrame, n: int) -> DataFrame:
+    """(pivot, member): in each bucket of several components, its members outside the component of its pivot with it; the
+    pivot is the least node, in later rounds by another hash. A pair is given once."""
+    order = F.xxhash64("node", F.lit(n)) if n else F.col("node")
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by(F.struct("node", "label"), order).alias("p")).where("lo < hi")
+    pairs = labelled.join(mixed.select("key", F.col("p.node").alias("pivot"), F.col("p.label").alias("other")), "key").where(F.col("label") != F.col("other"))
+    once = pairs.select(F.least("pivot", "node").alias("x"), F.greatest("pivot", "node").alias("y"), "pivot").groupBy("x", "y").agg(F.min("pivot").alias("pivot"))
+    return once.select("pivot", (F.col("x") + F.col("y") - F.col("pivot")).alias("member"))
+
+
+def all_pairs(labelled: DataFrame, percent: int) -> DataFrame:
+    """(pivot, member): all pairs across components within a bucket whose sizes don't rule them out. A large bucket is split
+    among tasks by its members; pairs within a component are never made."""
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count("*") / F.lit(SALT_ROWS)).alias("salts")).where("lo < hi").select("key", "salts")
+    own = labelled.join(mixed, "key").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")))
+    other = labelled.join(mixed, "key").select("key", F.col("node").alias("pivot"), F.col("n").alias("m"), F.col("label").alias("other"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    near = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+    return own.join(other, ["key", "salt"]).where((F.col("pivot") < F.col("node")) & (F.col("label") != F.col("other")) & near).select("pivot", F.col("node").alias("member")).distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> DataFrame:
     """One row a row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -209,43 +229,31 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
     classes = full.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("node"))
     classes = staged(classes, "classes")
     reps = staged(full.join(classes, ["d1", "d2", "n_shingles"]).where("doc_id = node").dropDuplicates(["node", "d1", "d2"]).select("node", "n_shingles", "registers"), "reps")
-    keyed = reps.select("node", F.explode(band_keys(F.col("registers"))).alias("key"))
+    keyed = reps.select("node", F.col("n_shingles").alias("n"), F.explode(band_keys(F.col("registers"))).alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
     members = staged(keyed.join(buckets, "key").distinct(), "members")
+    # Registers are joined to pairs in each round; only those of members are needed.
+    reps = staged(reps.join(members.select("node").distinct(), "node", "left_semi"), "registers")
 
-    tested = edges = None
     # A doc_id with several texts joins their classes.
     many = full.join(classes, ["d1", "d2", "n_shingles"]).groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("a", "b")
     edges = staged(many, "links")
-    labelled = members.withColumn("label", F.col("node"))
+    labels = components(edges)
+    tested = None
     for n in range(STAR_ROUNDS + 1):
-        last = n == STAR_ROUNDS
-        order = F.xxhash64("node", F.lit(n)) if n else F.col("node")
-        mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by(F.struct("node", "label"), order).alias("p")).where("lo < hi")
-        if last:
-            own = labelled.join(mixed.select("key"), "key", "left_semi")
-            other = own.select("key", F.col("node").alias("pivot"), F.col("label").alias("other"))
-            pairs = own.join(other, "key").where((F.col("pivot") < F.col("node")) & (F.col("label") != F.col("other"))).select("pivot", F.col("node").alias("member"))
-        else:
-            pairs = labelled.join(mixed.select("key", F.col("p.node").alias("pivot"), F.col("p.label").alias("other")), "key").where(F.col("label") != F.col("other"))
-            pairs = pairs.select(F.least("pivot", "node").alias("x"), F.greatest("pivot", "node").alias("y"), "pivot").groupBy("x", "y").agg(F.min("pivot").alias("pivot"))
-            pairs = pairs.select("pivot", (F.col("x") + F.col("y") - F.col("pivot")).alias("member"))
-        pairs = pairs.distinct()
+        labelled = members.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label")) if n else members.withColumn("label", F.col("node"))
+        pairs = star_pairs(labelled, n) if n < STAR_ROUNDS else all_pairs(labelled, percent)
         if tested is not None:
             pairs = pairs.join(tested, (F.least("pivot", "member") == tested["ta"]) & (F.greatest("pivot", "member") == tested["tb"]), "left_anti")
         pairs = staged(pairs, "pairs")
         if pairs.isEmpty():
-            if last or n == 0:
-                break
             continue
+        done = pairs.select(F.least("pivot", "member").alias("ta"), F.greatest("pivot", "member").alias("tb"))
+        tested = done if tested is None else tested.unionByName(done)
         found = staged(verified(staged(likely(pairs, reps, percent), "likely"), docs, shingle, percent), "links")
-        edges = edges.unionByName(found)
-        if not last:
-            done = pairs.select(F.least("pivot", "member").alias("ta"), F.greatest("pivot", "member").alias("tb"))
-            tested = done if tested is None else tested.unionByName(done)
+        if not found.isEmpty():
+            edges = edges.unionByName(found)
             labels = components(edges)
-            labelled = staged(members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "labelled")
-    labels = components(edges)
     nodes = classes.join(labels, "node", "left").select("d1", "d2", "n_shingles", F.coalesce("label", "node").alias("component"))
     out = sk.select("doc_id", "n_shingles", "d1", "d2").join(nodes, ["d1", "d2", "n_shingles"], "left")
     component = F.coalesce("component", "doc_id")
@@ -266,3 +274,22 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
         return left
     same = F.col("doc_id") == F.col(a)
     return left.join(small(again), same, "left_anti").unionByName(left.join(small(again), same, "left_semi").dropDuplicates(["doc_id"]))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM w WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)
+), reached AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT x, b FROM reached JOIN links ON y = a
+)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least AS component_id, d.doc_id = least AS kept
+FROM documents d JOIN (SELECT x, min(y) AS least FROM reached GROUP BY x) ON x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""

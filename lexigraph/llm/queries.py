@@ -71,6 +71,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": line_dedup.ORACLE_SQL,
+    "op6_substring_dedup": substring_dedup.ORACLE_SQL,
     "op8_quality_rules": quality_rules.ORACLE_SQL,
     "op9_chat_format": chat_format.ORACLE_SQL,
+    "op10_near_dedup": near_dedup.ORACLE_SQL,
 }

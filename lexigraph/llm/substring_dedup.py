@@ -103,3 +103,29 @@ def removed(docs: DataFrame, gone: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
     cut = F.pandas_udf(_cut, StringType())
     return docs.join(lists, F.col("doc_id") == F.col(k), "left").withColumn("text", cut(F.col("text"), F.col(g))).drop(k, g)
+
+
+#: Lower case differs from the operator's beyond the Latin-1 letters.
+ORACLE_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(range(len(l))) AS line, unnest(l) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)
+), line_at AS (
+  SELECT doc_id, line, x, (sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY line) - length(x) - 1) AS start FROM lines
+), parts AS (
+  SELECT doc_id, line, start, unnest(range(len(p))) AS k, unnest(p) AS x FROM (SELECT doc_id, line, start, string_split(regexp_replace(x, '([.!?]) ', '\1' || chr(1), 'g'), chr(1)) AS p FROM line_at)
+), part_at AS (
+  SELECT doc_id, line, k, x, start + (sum(length(x) + 1) OVER (PARTITION BY doc_id, line ORDER BY k) - length(x) - 1) AS start FROM parts WHERE true
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line, k) - 1 AS unit FROM part_at WHERE x <> ''
+), units AS (
+  SELECT doc_id, line, -1 AS unit, x, start, 0 AS level FROM line_at UNION ALL SELECT doc_id, line, unit, x, start, 1 FROM numbered
+), words AS (
+  SELECT *, regexp_extract_all(lower(x), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM units
+), ranked AS (
+  SELECT *, first_value(doc_id) OVER g AS first_doc_id, first_value(start) OVER g AS first_start FROM words WHERE len(w) >= 8 WINDOW g AS (PARTITION BY level, w ORDER BY doc_id, start)
+), gone AS (
+  SELECT * FROM ranked WHERE doc_id <> first_doc_id OR start <> first_start
+)
+SELECT doc_id, line::INTEGER AS line, unit::INTEGER AS unit, start::INTEGER AS start, (start + length(x))::INTEGER AS stop, len(w)::INTEGER AS n_words, first_doc_id, first_start::INTEGER AS first_start
+FROM gone g WHERE level = 0 OR NOT EXISTS (SELECT 1 FROM gone o WHERE o.level = 0 AND o.doc_id = g.doc_id AND o.line = g.line)
+"""

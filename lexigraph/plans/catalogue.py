@@ -309,6 +309,18 @@ def turank_users_k3(spark: SparkSession, d: str) -> DataFrame:
     return ranks.where("node.kind = 'user'").select(F.col("node.id").alias("user_id"), F.round("rank", 6).alias("rank"))
 
 
+@registered()
+def hits(spark: SparkSession, d: str) -> DataFrame:
+    """To convergence."""
+    return graph.hits(graph.retweet_edges(retweets(spark, d))).select("node", F.round("hub", 6).alias("hub"), F.round("auth", 6).alias("auth"))
+
+
+@registered()
+def turank(spark: SparkSession, d: str) -> DataFrame:
+    """To convergence."""
+    return graph.tweet_ranks(_turank(spark, d)).select("tid", F.round("turank", 6).alias("turank"))
+
+
 @registered("SELECT sqrt(sum(followers * followers::DOUBLE)) AS followers FROM deg")
 def l2_norms(spark: SparkSession, d: str) -> DataFrame:
     return graph.l2_norms(sampling.follower_counts(edges(spark, d)).withColumn("followers", F.col("followers").cast("double")), "followers")

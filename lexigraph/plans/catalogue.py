@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import crawl, graph, ir, sampling, search
 from ..sources import stores
+from ..storage import read_table
 from . import pipelines
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,7 +27,7 @@ ROUNDS = 3
 
 
 def _table(spark: SparkSession, d: str, name: str, *columns: str) -> DataFrame:
-    df = spark.read.parquet(f"{d}/{name}.parquet")
+    df = read_table(spark, f"{d}/{name}.parquet")
     return df.select(*columns) if columns else df
 
 

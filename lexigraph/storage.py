@@ -67,3 +67,11 @@ def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -
     """
     n = df.count() if rows is None else rows
     return F.broadcast(df) if n <= limit else df
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table; one of fewer splits than the cluster has cores is spread over them, so that a small file of one row
+    group doesn't leave the work to one task. Filters and column pruning still reach the scan."""
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

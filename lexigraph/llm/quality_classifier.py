@@ -129,11 +129,11 @@ def fit(rows: DataFrame, prior: float) -> Model:
     d = len(NAMES)
     w, size = np.zeros(d), 2 * (2 + 2 * d + d * d)
     for _ in range(STEPS):
-        parts = rows.select("x", "positive").mapInArrow(_sums(w), "v array<double>")
-        got = parts.agg(*(F.sum(F.get("v", F.lit(i))).alias(f"s{i}") for i in range(size))).first()
-        if got[0] is None:
-            break
-        u, p = np.array(got, float).reshape(2, -1)
+        parts = rows.select("x", "positive").mapInArrow(_sums(w), "v array<double>").select(F.posexplode("v").alias("i", "v"))
+        totals = np.zeros(size)
+        for r in parts.groupBy("i").agg(F.sum("v").alias("s")).collect():
+            totals[r.i] = r.s
+        u, p = totals.reshape(2, -1)
         if not p[0]:
             break
         part = lambda t: (t[1 : 1 + d] / t[0], t[1 + d] / t[0], t[2 + d : 2 + 2 * d] / t[0], t[2 + 2 * d :].reshape(d, d) / t[0])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import BROADCAST_ROWS, clear_staged, shared_dir, ship, small, staged
+from ..storage import BROADCAST_ROWS, clear_staged, read_table, shared_dir, ship, small, staged
 
 __all__ = ["BROADCAST_ROWS", "bind", "clear_staged", "fresh", "shared_dir", "ship", "small", "staged", "table"]
 
@@ -24,4 +24,4 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet")

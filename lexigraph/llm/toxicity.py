@@ -22,6 +22,8 @@ from .runtime import ship, staged
 TOXIC_ROWS, OTHER_ROWS = 4000, 8000
 FEATURES = 4096
 LEAST_DOCS = 3
+#: A feature's log-likelihood ratio (chance alone exceeds it once in two million features).
+LEAST_GAIN = 25.0
 PREFIXES = (3, 4, 5, 6, 7)
 GRADES = 3
 
@@ -73,7 +75,7 @@ def _rows(shared, keys: list[str]):
                 cut = np.searchsorted(row, np.arange(to - at + 1)).tolist()
                 lists = lambda x, kind: pa.array([x[a:b] for a, b in zip(cut, cut[1:])], pa.list_(kind))
                 own = [batch.column(k).slice(at, to - at) for k in keys]
-                yield pa.RecordBatch.from_arrays([*own, lists(f.astype(np.int32), pa.int32()), lists(n.astype(np.int32), pa.int32()), pa.array(w.count.astype(np.int32))], [*keys, "f", "n", "words"])
+                yield pa.RecordBatch.from_arrays([*own, lists(f.astype(np.int32), pa.int32()), lists(n.astype(np.int32), pa.int32())], [*keys, "f", "n"])
 
     return run
 
@@ -95,7 +97,7 @@ class Model:
         return np.bincount(row, np.log1p(n) * self.weights[f] if len(f) else None, minlength=len(w.count))
 
 
-def fit_ordinal(row: np.ndarray, f: np.ndarray, x: np.ndarray, grade: np.ndarray, n_features: int, grades: int, l2: float = 3e-5, steps: int = 600, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(row: np.ndarray, f: np.ndarray, x: np.ndarray, grade: np.ndarray, n_features: int, grades: int, l2: float = 1e-5, steps: int = 600, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of the cumulative-link model, by Adam on the whole (sparse) matrix. Thresholds are the first
     and the logarithms of the gaps, so they stay in order."""
     n = len(grade)
@@ -126,11 +128,20 @@ def fit_ordinal(row: np.ndarray, f: np.ndarray, x: np.ndarray, grade: np.ndarray
     return p[:n_features], np.concatenate([p[n_features : n_features + 1], p[n_features] + np.cumsum(gaps)])
 
 
+def _gain(n: Column, m: Column, positives: int, negatives: int) -> Column:
+    """The log-likelihood ratio G2 of a feature that n of the positives and m of the negatives hold."""
+    total = positives + negatives
+    cell = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
+    held_, left = n + m, total - n - m
+    parts = [cell(n, held_ * positives / total), cell(m, held_ * negatives / total), cell(positives - n, left * positives / total), cell(negatives - m, left * negatives / total)]
+    return 2 * (parts[0] + parts[1] + parts[2] + parts[3])
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn from docs (doc_id, text) and labels (doc_id, toxic 0 or 1, or a whole grade from 0 in column `grade`).
 
     From at most TOXIC_ROWS rows above grade 0 and OTHER_ROWS at 0, none held out. Where labels have no grades, a toxic
-    row's grade from 1 to GRADES is its third by share of words with a strong feature. Without rows of both kinds, the
+    row's grade from 1 to GRADES is its third by the logarithms of its counts of strong features. Without rows of both kinds, the
     model has no features and predicts grade 0.
     """
     spark = docs.sparkSession
@@ -148,22 +159,22 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     pos = freq(rows.where("y > 0")).where(F.col("n") >= LEAST_DOCS)
     both = pos.join(freq(rows.where("y = 0")).withColumnRenamed("n", "m"), "feature", "left").fillna(0, ["m"])
     odds = F.log((F.col("n") + 0.5) / (count[True] + 1)) - F.log((F.col("m") + 0.5) / (count[False] + 1))
-    best = both.select("feature", (F.col("n") * odds).alias("gain"), odds.alias("odds")).where("odds > 1").orderBy(F.desc("gain"), "feature").limit(FEATURES).collect()
+    best = both.select("feature", _gain(F.col("n"), F.col("m"), count[True], count[False]).alias("gain"), odds.alias("odds")).where((F.col("odds") > 1) & (F.col("gain") > LEAST_GAIN)).orderBy(F.desc("gain"), "feature").limit(FEATURES).collect()
     if not best:
         return none
     order = np.argsort(np.array([r.feature for r in best], np.int64).view(np.uint64))
     known = np.array([r.feature for r in best], np.int64).view(np.uint64)[order]
     strong = np.array([r.odds for r in best])[order] > 4
-    got = rows.select("doc_id", "y", "text").mapInArrow(_rows(spark.sparkContext.broadcast(known), ["doc_id", "y"]), "doc_id long, y int, f array<int>, n array<int>, words int").toPandas().sort_values("doc_id")
+    got = rows.select("doc_id", "y", "text").mapInArrow(_rows(spark.sparkContext.broadcast(known), ["doc_id", "y"]), "doc_id long, y int, f array<int>, n array<int>").toPandas().sort_values("doc_id")
     sizes = got["f"].map(len).to_numpy()
     row = np.repeat(np.arange(len(got)), sizes)
     f = np.concatenate([*got["f"], np.zeros(0, np.int32)]).astype(np.int64)
     n = np.concatenate([*got["n"], np.zeros(0, np.int32)]).astype(float)
     grade = got["y"].to_numpy().astype(np.int64)
     if not given:
-        share = np.bincount(row, n * strong[f], minlength=len(got)) / np.maximum(got["words"].to_numpy(), 1)
-        cuts = np.quantile(share[grade > 0], [k / GRADES for k in range(1, GRADES)])
-        grade = np.where(grade > 0, 1 + np.searchsorted(cuts, share, "left"), 0)
+        strength = np.bincount(row, np.log1p(n) * strong[f], minlength=len(got))
+        cuts = np.quantile(strength[grade > 0], [k / GRADES for k in range(1, GRADES)])
+        grade = np.where(grade > 0, 1 + np.searchsorted(cuts, strength, "left"), 0)
     weights, thresholds = fit_ordinal(row, f, np.log1p(n), grade, len(known), int(grade.max()) + 1)
     return Model(known, weights, thresholds)
 

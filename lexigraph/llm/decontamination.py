@@ -169,3 +169,36 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that overlap with a benchmark item go."""
     return decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+#: Looks at every alignment, also those that no seed hits.
+ORACLE_SQL = r"""
+WITH dw AS (
+  SELECT doc_id, unnest(w) AS w, unnest(range(len(w))) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents)
+), bl AS (
+  SELECT item_id, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark
+), bw AS (
+  SELECT item_id, len(w) AS n, unnest(w) AS w, unnest(range(len(w))) AS j FROM bl WHERE len(w) >= 5
+), aligned AS (
+  SELECT doc_id, item_id, n, pos - j AS shift FROM dw JOIN bw USING (w) GROUP BY ALL HAVING count(*) >= least(13, (4 * n + 4) // 5)
+), same AS (
+  SELECT a.doc_id, a.item_id, a.n, a.shift, b.j, (d.w = b.w)::INTEGER AS eq FROM aligned a JOIN bw b ON b.item_id = a.item_id JOIN dw d ON d.doc_id = a.doc_id AND d.pos = a.shift + b.j
+), sums AS (
+  SELECT *, sum(CASE WHEN eq = 1 THEN 1 ELSE -4 END) OVER g AS s, sum(eq) OVER g AS m, row_number() OVER g AS k, min(j) OVER (PARTITION BY doc_id, item_id, shift) AS lo
+  FROM same WINDOW g AS (PARTITION BY doc_id, item_id, shift ORDER BY j)
+), prefix AS (
+  SELECT doc_id, item_id, n, shift, lo, k, s, m FROM sums UNION ALL SELECT DISTINCT doc_id, item_id, n, shift, lo, 0, 0, 0 FROM sums
+), gains AS (
+  SELECT *, s - min(s) OVER (PARTITION BY doc_id, item_id, shift ORDER BY k) AS gain, min(s) OVER (PARTITION BY doc_id, item_id, shift ORDER BY k) AS least FROM prefix
+), ends AS (
+  SELECT * FROM gains QUALIFY row_number() OVER (PARTITION BY doc_id, item_id, shift ORDER BY gain DESC, k) = 1
+), spans AS (
+  SELECT e.doc_id, e.item_id, e.n, e.shift, e.lo, e.k AS stop, e.m AS upto, max(p.k) AS start, arg_max(p.m, p.k) AS before
+  FROM ends e JOIN prefix p ON p.doc_id = e.doc_id AND p.item_id = e.item_id AND p.shift = e.shift AND p.k <= e.k AND p.s = e.least GROUP BY ALL
+), best AS (
+  SELECT *, upto - before AS matched FROM spans WHERE upto - before >= least(13, (4 * n + 4) // 5)
+  QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY upto - before DESC, shift) = 1
+)
+SELECT doc_id, item_id, matched::INTEGER AS matched, (stop - start)::INTEGER AS overlap, n::INTEGER AS item_words, (shift + lo + start)::INTEGER AS doc_start, (lo + start)::INTEGER AS item_start
+FROM best
+"""

@@ -70,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_near_dedup": op10_near_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op2_decontamination": decontamination.ORACLE_SQL,
     "op3_line_dedup": line_dedup.ORACLE_SQL,
     "op6_substring_dedup": substring_dedup.ORACLE_SQL,
     "op8_quality_rules": quality_rules.ORACLE_SQL,

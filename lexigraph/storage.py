@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
@@ -18,19 +19,21 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the Python workers this package, once per application.
-
-    The archive is written on the driver and served by Spark itself, so the executors need no shared code folder.
-    """
+    """Give the Python workers this package, once per application: an archive in the shared folder, which Spark hands out."""
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
     root = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="code-")) / f"{root.name}.zip"
+    archive = io.BytesIO()
     with zipfile.ZipFile(archive, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
-    spark.sparkContext.addPyFile(str(archive))
+    path = f"{shared_dir(spark)}/code/{app}/{root.name}.zip"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray(archive.getvalue()))
+    out.close()
+    spark.sparkContext.addPyFile(path)
     _shipped.add(app)
 
 

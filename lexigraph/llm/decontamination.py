@@ -2,8 +2,8 @@
 
 A seed hashes the words under a fixed mask at one position, so a substituted word under none of the mask's ones changes
 nothing. The benchmark's seeds are a sorted array in each worker, in blocks of bounded size; every position of every
-document is looked up. Each hit fixes an alignment; along it the best segment with at most one mismatch in five words is
-found, and counts if it holds enough matching words.
+document is looked up. Each hit fixes an alignment; along it the segment with most matches of those with at most one
+mismatch in five words is found, and counts if it holds enough matching words.
 """
 
 from __future__ import annotations
@@ -49,6 +49,16 @@ def _seeds(h: np.ndarray, row: np.ndarray, mask: str) -> tuple[np.ndarray, np.nd
     return tv.mix(out[at]), at
 
 
+def _segment(same: np.ndarray) -> tuple[int, int, int]:
+    """Start, end and matches of the segment with most matches of those with at most one mismatch in five."""
+    sums = np.concatenate([[0], np.cumsum(np.where(same, 1, -4))])
+    matches = np.concatenate([[0], np.cumsum(same)])
+    starts = np.searchsorted(-np.minimum.accumulate(sums), -sums, "left")  # for each end the first start that is allowed
+    end = int((matches - matches[starts]).argmax())
+    start, matched = int(starts[end]), int(matches[end] - matches[starts[end]])
+    return (start + int(same[start:].argmax()) if matched else end), end, matched
+
+
 class Block:
     """Some benchmark items: their words' hashes, and the sorted seeds of each mask."""
 
@@ -87,11 +97,7 @@ class Block:
             hi = min(size, int(w.first[row] + w.count[row]) - begin)
             first = int(self.first[item])
             same = self.hash[first + lo : first + hi] == w.hash[begin + lo : begin + hi]
-            sums = np.concatenate([[0], np.cumsum(np.where(same, 1, -4))])
-            gain = sums - np.minimum.accumulate(sums)
-            end = int(gain.argmax())
-            start = int(np.flatnonzero(sums[: end + 1] == sums[: end + 1].min())[-1])
-            matched = int(same[start:end].sum())
+            start, end, matched = _segment(same)
             if size >= LEAST and matched >= min(ENOUGH, -(-4 * size // 5)):
                 got = (matched, end - start, size, begin + lo + start - int(w.first[row]), lo + start)
                 if (row, item) not in best or got[0] > best[row, item][0]:

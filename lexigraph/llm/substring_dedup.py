@@ -1,7 +1,9 @@
 """Substring dedup by hashing lines and their sentences: normalise, group digests globally, keep the first, remove the rest.
 
-A unit is a line, and each sentence in it, since passages are also pasted within lines. Its digest is of its words in
-lower case without punctuation. Only digests and positions are shuffled; groups are reduced on the map side to their first
+A unit is a line, and each sentence in it, since passages are also pasted within lines. Sentences too short for a unit are
+joined with their neighbours, also over lines, into blocks: from each such sentence on, and up to each, until the words
+suffice, so that a passage of short lines gives the same blocks wherever it stands. A digest is of a unit's words in lower
+case without punctuation. Only digests and positions are shuffled; groups are reduced on the map side to their first
 position, and the join back is split where a digest is hot. Original offsets are kept, so removal can be undone.
 """
 
@@ -25,8 +27,27 @@ UNITS = "line int, unit int, start int, stop int, n_words int, d1 long, d2 long"
 _END = np.zeros(256, bool)
 _END[[ord(c) for c in ".!?"]] = True
 
+#: Numbers of units that are no sentences.
+LINE, BLOCK, BLOCK_OF_LINES = -1, -2, -3
+
+
+def _blocks(n: np.ndarray, text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last sentence of each block, for sentences of n words (1 or more) of the given texts, in order."""
+    sums = np.concatenate([[0], np.cumsum(n)])
+    short = np.flatnonzero(n < least)
+    on = np.searchsorted(sums, sums[short] + least, "left") - 1
+    back = np.searchsorted(sums, sums[short + 1] - least, "right") - 1
+    first, last = np.concatenate([short, back]), np.concatenate([on, short])
+    inside = (first >= 0) & (last < len(n))
+    first, last = first[inside], last[inside]
+    inside = text[first] == text[last]
+    pairs = np.unique(np.stack([first[inside], last[inside]]), axis=1)
+    return pairs[0], pairs[1]
+
 
 def _units(least: int):
+    names = ["doc_id", *(x.split()[0] for x in UNITS.split(", "))]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = tv.filled(batch.column("text"))
@@ -53,16 +74,30 @@ def _units(least: int):
                     row = w.row[(ends - n)[keep]]
                     begin = w.offsets[row]
                     first = np.searchsorted(start, w.offsets[:-1])[row]
-                    cols = [breaks[start[keep]] - breaks[begin], np.full(len(keep), -1) if not level else keep - first, chars[start[keep]] - chars[begin], chars[end[keep]] - chars[begin], n[keep]]
+                    cols = [breaks[start[keep]] - breaks[begin], np.full(len(keep), LINE) if not level else keep - first, chars[start[keep]] - chars[begin], chars[end[keep]] - chars[begin], n[keep]]
                     ids = batch.column("doc_id").take(pa.array(at + row))
-                    yield pa.RecordBatch.from_arrays([ids, *(pa.array(c.astype(np.int32)) for c in cols), *map(pa.array, digests)], ["doc_id", *(x.split()[0] for x in UNITS.split(", "))])
+                    yield pa.RecordBatch.from_arrays([ids, *(pa.array(c.astype(np.int32)) for c in cols), *map(pa.array, digests)], names)
+                some = np.flatnonzero(n)
+                a, b = (some[x] for x in _blocks(n[some], w.row[(ends - n)[some]], least))
+                if not len(a):
+                    continue
+                word, size = (ends - n)[a], ends[b] - (ends - n)[a]
+                stops = np.cumsum(size)
+                place = np.arange(stops[-1]) - np.repeat(stops - size, size)
+                hashes = w.hash[np.repeat(word, size) + place] + tv.mix(place.astype(np.uint64))
+                digests = [np.add.reduceat(tv.mix(hashes + np.uint64(salt)), stops - size).view(np.int64) for salt in (0x8EBC6AF09C88C6E3, 0x589965CC75374CC3 ^ 2)]
+                begin = w.offsets[w.row[word]]
+                kind = np.where(breaks[start[a]] == breaks[start[b]], BLOCK, BLOCK_OF_LINES)
+                cols = [breaks[start[a]] - breaks[begin], kind, chars[start[a]] - chars[begin], chars[end[b]] - chars[begin], size]
+                ids = batch.column("doc_id").take(pa.array(at + w.row[word]))
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c.astype(np.int32)) for c in cols), *map(pa.array, digests)], names)
 
     return run
 
 
 def units(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """Each unit with enough words: doc_id, line (number), unit (-1: the whole line, else the sentence's number in the text),
-    start, stop (characters), n_words, d1, d2 (a 128-bit digest)."""
+    """Each unit with enough words: doc_id, line (number), unit (-1: the whole line, -2: a block within it, -3: a block
+    from it on over further lines, else the sentence's number in the text), start, stop (characters), n_words, d1, d2 (a 128-bit digest)."""
     ship(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_units(least_words), f"doc_id {kind}, {UNITS}")
@@ -72,15 +107,18 @@ def repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """The units to remove: doc_id, line, unit, start, stop (offsets in the original text), n_words, first_doc_id, first_start.
 
     Rank is (doc_id, start): of equal units the least stays, also among those of one text, and each other gives a row. A
-    sentence of a line that goes gives none of its own. Null texts have no units; of repeated rows (one doc_id, one text)
+    sentence or block of a line that goes gives none of its own; a block goes only if it doesn't overlap with its first. Null texts have no units; of repeated rows (one doc_id, one text)
     units of equal rank all stay; other columns are ignored; an empty table gives an empty result.
     """
     u = staged(units(docs, least_words), "units")
-    firsts = u.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    j = u.join(firsts, ["d1", "d2"]).where(F.struct("doc_id", "start") != F.col("first"))
+    firsts = u.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "start", "stop")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    j = u.join(firsts, ["d1", "d2"]).where(F.struct("doc_id", "start") != F.struct("first.doc_id", "first.start"))
+    j = j.where((F.col("unit") >= LINE) | ~F.col("doc_id").eqNullSafe(F.col("first.doc_id")) | (F.col("start") >= F.col("first.stop")))
     gone = staged(j.select("doc_id", "line", "unit", "start", "stop", "n_words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start")), "repeats")
-    whole = gone.where("unit = -1")
-    return whole.unionByName(gone.where("unit >= 0").join(whole.select("doc_id", "line").distinct(), ["doc_id", "line"], "left_anti"))
+    whole = gone.where(F.col("unit") == LINE)
+    over = gone.where(F.col("unit") == BLOCK_OF_LINES)
+    within = gone.where(~F.col("unit").isin(LINE, BLOCK_OF_LINES))
+    return whole.unionByName(over).unionByName(within.join(whole.select("doc_id", "line").distinct(), ["doc_id", "line"], "left_anti"))
 
 
 def _cut(text: pd.Series, spans: pd.Series) -> pd.Series:

@@ -350,7 +350,7 @@ def adjacency(spark: SparkSession, d: str) -> DataFrame:
 
 @registered("SELECT tid, author_id, retweeter FROM retweets WHERE retweeter IN (SELECT user_id FROM names WHERE user_id % 2 = 0)")
 def known_user_semi(spark: SparkSession, d: str) -> DataFrame:
-    return crawl.known_only(retweets(spark, d), names(spark, d).where("user_id % 2 = 0"), "retweeter").select("tid", "author_id", "retweeter")
+    return crawl.known_only(retweets(spark, d), names(spark, d), "retweeter").select("tid", "author_id", "retweeter")
 
 
 @registered("SELECT user_id FROM names WHERE user_id NOT IN (SELECT uid FROM posts)")

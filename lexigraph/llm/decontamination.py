@@ -23,6 +23,8 @@ MASKS = ("1111111", "1101101011", "11100101011", "10111001101")
 #: A run of this many matching words counts, or four fifths of a shorter item; items of fewer words than LEAST never do.
 ENOUGH = 13
 LEAST = 5
+#: Items of up to so many words, which may have one mismatch, get seeds that leave out one word each.
+SHORT = 9
 #: Benchmark words held in a worker at a time; a larger benchmark takes more passes over the documents.
 BLOCK_WORDS = 500_000
 FOUND = "item_id long, matched int, overlap int, item_words int, doc_start int, item_start int"
@@ -36,6 +38,11 @@ def _offsets(mask: str) -> list[int]:
     return [i for i, c in enumerate(mask) if c == "1"]
 
 
+def _but_one(n: int) -> list[str]:
+    """Masks that leave out one of n words each: the first or last, then each other."""
+    return ["1" * (n - 1), *("1" * k + "0" + "1" * (n - 1 - k) for k in range(1, n - 1))]
+
+
 def _seeds(h: np.ndarray, row: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
     """Hash and first word of each placement of the mask within one text."""
     n = len(h) - len(mask) + 1
@@ -66,11 +73,11 @@ class Block:
         w = _words(pa.array(texts, pa.string()))
         self.ids, self.hash, self.first, self.count = np.array(ids, np.int64), w.hash, w.first, w.count
         self.tables = []
-        for mask in (*MASKS, *("1" * n for n in range(LEAST, len(MASKS[0])))):
+        for mask, size in (*((m, None) for m in MASKS), *((m, n) for n in range(LEAST, SHORT + 1) for m in _but_one(n))):
             seed, at = _seeds(w.hash, w.row, mask)
-            if mask not in MASKS:  # an item too short for the masks is one seed of all its words
-                whole = self.count[w.row[at]] == len(mask)
-                seed, at = seed[whole], at[whole]
+            if size:
+                own = self.count[w.row[at]] == size
+                seed, at = seed[own], at[own]
             if len(seed):
                 order = np.argsort(seed, kind="stable")
                 seed, at = seed[order], at[order]

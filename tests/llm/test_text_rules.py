@@ -66,7 +66,7 @@ def test_templates_with_fields(spark):
     same_as_sql(line_dedup.line_dedup(df), con, line_dedup.ORACLE_SQL)
     got = {r.doc_id: r for r in line_dedup.line_dedup(df).collect()}
     assert got[3].dropped == "1" and "Posted" not in got[3].text and got[3].text.count("\n") == 1
-    assert got[900].whole and got[900].n_dropped == 0 and got[901].text is None and got[902].text == ""
+    assert got[900].text == "only here is this line of text" and got[901].text is None and got[902].text == ""
     few = {r.doc_id: r.n_dropped for r in line_dedup.line_dedup(fixture(spark, boiler(8))[0]).collect()}
     assert set(few.values()) == {0}
 
@@ -76,6 +76,24 @@ def test_copies_make_nothing_recur(spark):
     assert line_dedup.line_dedup(df).where("n_dropped > 0").count() == 0
 
 
+def test_near_copies_keep_their_bodies(spark):
+    """Twenty texts that share four of five lines have no carriers of these; the boilerplate among them still goes."""
+    body = "\n".join(" ".join(f"{a}{b}" for b in "qwertyuiop") for a in "abcd")
+    rows = boiler(30) + [(1000 + i, f"{body}\nPosted by user{i} on page 3 of the board\nan end {chr(97 + i)} that no other of the copies has", "en", "s") for i in range(20)]
+    df, con = fixture(spark, rows)
+    same_as_sql(line_dedup.line_dedup(df), con, line_dedup.ORACLE_SQL)
+    got = {r.doc_id: r for r in line_dedup.line_dedup(df).collect()}
+    assert got[1003].dropped == "4" and got[1003].text.startswith(body)
+
+
+def test_variants_within_one_text_are_one(spark):
+    """Twelve lines of one template, and of twelve first tokens that hold digits, in one text: neither recurs."""
+    lines = "\n".join(f"item number {i} was seen over here" for i in range(12)) + "\n" + "\n".join(f"{i} some of the {chr(97 + i)} things" for i in range(12))
+    df, con = fixture(spark, [(1, lines, "en", "s"), *((i, f"item number {i} was\n{i} other of {i}", "en", "s") for i in range(2, 20))])
+    same_as_sql(line_dedup.line_dedup(df), con, line_dedup.ORACLE_SQL)
+    assert [r.n_dropped for r in line_dedup.line_dedup(df).where("doc_id = 1").collect()] == [0]
+
+
 def test_line_stage(spark):
     docs = odd_docs(spark)
     out = line_dedup.stage(spark, docs, "")

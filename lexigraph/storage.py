@@ -12,8 +12,11 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A table of at most this many rows of fixed width (ids, numbers) may be broadcast; beyond it the join is shuffled.
-BROADCAST_ROWS = 2_000_000
+#: A staged table of at most this many bytes on disk may be broadcast; beyond it the join is shuffled. Hash columns don't
+#: compress, so in memory a table takes some ten times that at most.
+BROADCAST_BYTES = 4 << 20
+#: The same for a table that isn't staged, in counted rows of fixed width (ids, numbers).
+BROADCAST_ROWS = 200_000
 
 _shipped: set[str] = set()
 
@@ -38,9 +41,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: ``spark.checkpoint.dir``. Only where it is unset (tests, one machine) a local one."""
+    """The folder that all executors see: ``spark.checkpoint.dir``. Where it is unset, a local one if all run on this
+    machine (tests); on a cluster that is an error, as each executor would write to a disk of its own."""
     got = spark.conf.get("spark.checkpoint.dir", None)
     if not got:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         got = f"file://{os.path.join(tempfile.gettempdir(), 'lexigraph-shared-' + spark.sparkContext.applicationId)}"
         spark.conf.set("spark.checkpoint.dir", got)
     return got.rstrip("/")
@@ -54,7 +60,20 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def bytes_of(df: DataFrame) -> int | None:
+    """Bytes on disk of a staged table, without a job; None for others."""
+    path = getattr(df, "_staged_at", None)
+    if path is None:
+        return None
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    return sum(f.getLen() for f in files)
 
 
 def clear_staged(spark: SparkSession) -> None:
@@ -63,13 +82,13 @@ def clear_staged(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if its counted rows are within the limit, else df for a shuffled join.
+def small(df: DataFrame, limit: int = BROADCAST_BYTES, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df with a broadcast hint if its size is checked and within the limit, else df for a shuffled join.
 
-    For tables of fixed-width columns only, so that the bound on rows bounds the bytes.
+    For tables of fixed-width columns only: a staged one is measured by its bytes, another by its counted rows.
     """
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= limit else df
+    size = bytes_of(df)
+    return F.broadcast(df) if (df.count() <= rows if size is None else size <= limit) else df
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from lexigraph import storage
@@ -6,7 +7,22 @@ from lexigraph import storage
 def test_small_is_checked(spark):
     df = spark.range(100)
     hinted = lambda x: "ResolvedHint" in x._jdf.queryExecution().analyzed().toString() or "hint" in x._jdf.queryExecution().analyzed().toString().lower()
-    assert hinted(storage.small(df)) and not hinted(storage.small(df, limit=99)) and not hinted(storage.small(df, rows=3_000_000))
+    assert hinted(storage.small(df)) and not hinted(storage.small(df, rows=99))
+    kept = storage.staged(df, "t")
+    assert storage.bytes_of(df) is None and storage.bytes_of(kept) > 100
+    assert hinted(storage.small(kept)) and not hinted(storage.small(kept, limit=100))
+
+
+def test_no_local_folder_on_a_cluster(spark, monkeypatch):
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_dir(Cluster)
 
 
 def test_staged(spark):

@@ -6,9 +6,13 @@ sets' registers agree with a probability near their Jaccard similarity. Document
 candidates. A candidate pair goes to verification unless the joint likelihood of its registers rules the similarity out;
 verification compares the full sets.
 
-Hot groups: documents with equal sets are one class. Within a bucket only pairs with the bucket's pivot are tested, then
-components are formed, and only pairs across components are tested further; the last round tests all that remain, so no
-link that connects two components is lost. A pivot with many members is salted.
+Hot groups: documents with equal sets are one class, named by the set's 128-bit digest. A bucket's pairs are never made at
+once: in each round a few of its members are pivots, eight times as many as the last time, and only members in another
+component than the pivot are paired with it; then components are formed anew, and buckets of one component are left. So a
+group of copies takes a round or two however large it is. A bucket that keeps more than CROWD members in several
+components (texts that share boilerplate, but are unlike) is banded again, by rare shingles: sets with a similarity of t
+share a shingle among the n - ceil(t n) + 1 rarest of each, in any order, so no link is lost, and boilerplate is never
+among the rarest. A pivot with many members is salted, and no pair within a component is ever made.
 """
 
 from __future__ import annotations
@@ -28,12 +32,15 @@ BAND = 4
 B, A, Q = 1.001, 20.0, 65534
 #: A pair is ruled out when its registers are e^12 times likelier under a lower similarity than at the threshold.
 RULED_OUT = 12.0
-STAR_ROUNDS = 2
+#: Pivots a bucket in the first round, and how many times as many in each further one.
+PIVOTS, GROWTH = 1, 8
+#: A bucket of more members that is left after two rounds is banded again.
+CROWD = 64
 SALT_ROWS = 2000
+#: Counters that estimate how many sets hold a shingle; their number doesn't depend on the data.
+CELL_BITS = 18
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
-SKETCH = "doc_id long, n_shingles long, d1 long, d2 long, registers binary"
-
 
 def registers(h: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     """SetSketch registers (n x M, uint16) of n sets; h: distinct element hashes, row: their set."""
@@ -68,23 +75,29 @@ def _sketch(shingle: int):
                 n = to - at
                 h, row = tv.distinct(*tv.Words(texts.slice(at, n)).shingles(shingle))
                 size = np.bincount(row, minlength=n)
-                digest = []
-                for salt in (np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3)):
+                ends, digest = np.cumsum(size), np.zeros((n, 2), ">u8")
+                for k, salt in enumerate((np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3))):
                     sums = np.zeros(len(h) + 1, np.uint64)
                     np.cumsum(tv.mix(h ^ salt), out=sums[1:])
-                    ends = np.cumsum(size)
-                    digest.append((sums[ends] - sums[ends - size]).view(np.int64))
-                regs = registers(h, row, n)
-                regs_col = pa.array([r.tobytes() if s else None for r, s in zip(regs, size.tolist())], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, n).cast(pa.int64()), pa.array(size.astype(np.int64)), pa.array(digest[0]), pa.array(digest[1]), regs_col], ["doc_id", "n_shingles", "d1", "d2", "registers"])
+                    digest[:, k] = sums[ends] - sums[ends - size]
+                some = size.tolist()
+                cols = [[x.tobytes() if s else None for x, s in zip(of, some)] for of in (digest, registers(h, row, n))]
+                own = [batch.column(c).slice(at, n) for c in ("doc_id", "th")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(size.astype(np.int64)), *(pa.array(c, pa.binary()) for c in cols)], ["doc_id", "th", "n_shingles", "node", "registers"])
 
     return run
 
 
+def hashed(docs: DataFrame) -> DataFrame:
+    """doc_id, th (a hash of the text), text: what tells the rows of docs apart."""
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).select("doc_id", F.xxhash64("text").alias("th"), "text")
+
+
 def sketches(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id, n_shingles, d1, d2 (a 128-bit digest of the set), registers (null for an empty set)."""
+    """doc_id, th, n_shingles, node (a 128-bit digest of the set), registers (both null for an empty set)."""
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_sketch(shingle), SKETCH)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return hashed(docs).mapInArrow(_sketch(shingle), f"doc_id {kind}, th long, n_shingles long, node binary, registers binary")
 
 
 def band_keys(column: Column) -> Column:
@@ -128,7 +141,7 @@ def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     side = lambda key, r, n: reps.select(F.col("node").alias(key), F.col("registers").alias(r), F.col("n_shingles").alias(n))
     both = pairs.join(side("pivot", "ra", "na"), "pivot").join(side("member", "rb", "nb"), "member")
     both = both.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    return both.select("pivot", "member", "ra", "na", "rb", "nb").mapInArrow(_likely(percent), "pivot long, member long").distinct()
+    return both.select("pivot", "member", "ra", "na", "rb", "nb").mapInArrow(_likely(percent), "pivot binary, member binary")
 
 
 def _verify(shingle: int, percent: int):
@@ -137,12 +150,12 @@ def _verify(shingle: int, percent: int):
         for batch in batches:
             texts = tv.filled(batch.column("text"))
             keys = list(zip(batch.column("pivot").to_pylist(), batch.column("salt").to_pylist()))
-            members = batch.column("doc_id").to_pylist()
+            members = batch.column("member").to_pylist()
             roles = batch.column("role").to_pylist()
             for at, to in tv.slices(texts):
                 h, row = tv.distinct(*tv.Words(texts.slice(at, to - at)).shingles(shingle))
                 ends = np.searchsorted(row, np.arange(to - at + 1))
-                found: list[tuple[int, int]] = []
+                found: list[tuple[bytes, bytes]] = []
                 for i in range(at, to):
                     own = h[ends[i - at] : ends[i - at + 1]]
                     if keys[i] != pivot:
@@ -156,22 +169,70 @@ def _verify(shingle: int, percent: int):
                                 found.append((pivot[0], members[i]))
                                 break
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], ["a", "b"])
 
     return run
 
 
-def verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links (a, b) among the pairs (pivot, member), by their full sets.
+def _texts(needs: DataFrame, docs: DataFrame) -> DataFrame:
+    """needs (at: doc_id and th of a text) with the text."""
+    d = hashed(docs)
+    return d.join(small(staged(needs, "needs")), (d["th"] == F.col("at.th")) & d["doc_id"].eqNullSafe(F.col("at.doc_id"))).drop("doc_id", "th", "at")
+
+
+def verified(pairs: DataFrame, at: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (a, b) among the pairs (pivot, member), by their full sets. at: node, at (where a text with this set is).
 
     Each text goes to the task of its pair's pivot and salt; texts stream by, and only the pivot's set is held.
     """
     sizes = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(SALT_ROWS)).alias("salts"))
     salted = pairs.join(sizes, "pivot").select("pivot", F.pmod(F.xxhash64("member"), F.col("salts")).alias("salt"), "member")
-    needs = salted.select("pivot", "salt", F.col("member").alias("doc_id"), F.lit(1).alias("role")).unionByName(salted.select("pivot", "salt", F.col("pivot").alias("doc_id"), F.lit(0).alias("role")).distinct())
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(small(staged(needs, "needs")), "doc_id")
-    rows = rows.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "role").select("pivot", "salt", "role", "doc_id", "text")
-    return rows.mapInArrow(_verify(shingle, percent), "a long, b long")
+    members = salted.withColumn("role", F.lit(1)).unionByName(salted.select("pivot", "salt", F.col("pivot").alias("member"), F.lit(0).alias("role")).distinct())
+    needs = members.join(at.withColumnRenamed("node", "member"), "member")
+    rows = _texts(needs, docs).repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "role").select("pivot", "salt", "role", "member", "text")
+    return rows.mapInArrow(_verify(shingle, percent), "a binary, b binary")
+
+
+def _cells(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << CELL_BITS, np.int64)
+        for batch in batches:
+            texts = tv.filled(batch.column("text"))
+            for at, to in tv.slices(texts):
+                h, _ = tv.distinct(*tv.Words(texts.slice(at, to - at)).shingles(shingle))
+                total += np.bincount((h >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "n"])
+
+    return run
+
+
+def _rarest(shared, shingle: int, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for batch in batches:
+            texts = tv.filled(batch.column("text"))
+            for at, to in tv.slices(texts):
+                h, row = tv.distinct(*tv.Words(texts.slice(at, to - at)).shingles(shingle))
+                order = np.lexsort((h, counts[(h >> np.uint64(64 - CELL_BITS)).astype(np.int64)], row))
+                h, row = h[order], row[order]
+                size = np.bincount(row, minlength=to - at)
+                place = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
+                keep = place < (size - -(-percent * size // 100) + 1)[row]
+                yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(at + row[keep])), pa.array(size[row[keep]]), pa.array(h[keep].view(np.int64))], ["node", "n", "key"])
+
+    return run
+
+
+def rare_buckets(nodes: DataFrame, at: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """key, node, n: each set under its rarest shingles, as many as two sets with the similarity must share one of."""
+    texts = staged(_texts(nodes.join(at, "node"), docs), "crowd")
+    cells = texts.mapInArrow(_cells(shingle), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    counts = np.zeros(1 << CELL_BITS, np.int64)
+    for r in cells.collect():  # at most 2 to the CELL_BITS rows
+        counts[r.cell] = r.n
+    shared = nodes.sparkSession.sparkContext.broadcast(counts)
+    return texts.mapInArrow(_rarest(shared, shingle, percent), "node binary, n long, key long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -196,24 +257,80 @@ def components(edges: DataFrame) -> DataFrame:
     return e.groupBy("u").agg(F.min("v").alias("label")).withColumnRenamed("u", "node")
 
 
-def star_pairs(labelled: DataFrame, n: int) -> DataFrame:
-    """(pivot, member): in each bucket of several components, its members outside the component of its pivot with it; the
-    pivot is the least node, in later rounds by another hash. A pair is given once."""
-    order = F.xxhash64("node", F.lit(n)) if n else F.col("node")
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by(F.struct("node", "label"), order).alias("p")).where("lo < hi")
-    pairs = labelled.join(mixed.select("key", F.col("p.node").alias("pivot"), F.col("p.label").alias("other")), "key").where(F.col("label") != F.col("other"))
-    once = pairs.select(F.least("pivot", "node").alias("x"), F.greatest("pivot", "node").alias("y"), "pivot").groupBy("x", "y").agg(F.min("pivot").alias("pivot"))
-    return once.select("pivot", (F.col("x") + F.col("y") - F.col("pivot")).alias("member"))
+def sized(keyed: DataFrame) -> DataFrame:
+    """key, node, n of buckets of two members or more, with size and v, a number below size that ranks the bucket's members."""
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    return staged(keyed.join(sizes, "key").withColumn("v", F.pmod(F.xxhash64("node", F.lit(7)), F.col("size"))), "members")
+
+
+def mixed(labelled: DataFrame) -> DataFrame:
+    """key of the buckets with several components, and p: the member that ranks first."""
+    first = F.min_by(F.struct("v", "node", "n", "label"), F.struct("v", "node")).alias("p")
+    return labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), first).where("lo < hi").select("key", "p")
+
+
+def star_pairs(labelled: DataFrame, pivots: int, percent: int) -> DataFrame:
+    """(pivot, member), each pair once: in each bucket of several components its first `pivots` members (about as many) with
+    those that rank behind them, lie in another component, and aren't ruled out by the sets' sizes."""
+    of = mixed(labelled)
+    if pivots == 1:
+        p = of.select("key", "p.*")
+    else:
+        p = labelled.join(of, "key", "left_semi").where(F.col("v") < pivots).select("key", "v", "node", "n", "label")
+    p = p.select("key", *(F.col(c).alias(f"p_{c}") for c in ("v", "node", "n", "label")))
+    near = F.least("n", "p_n") * 100 >= F.greatest("n", "p_n") * percent
+    pairs = labelled.join(p, "key").where((F.struct("p_v", "p_node") < F.struct("v", "node")) & (F.col("label") != F.col("p_label")) & near)
+    once = pairs.select(F.least("p_node", "node").alias("x"), F.greatest("p_node", "node").alias("y"), F.col("p_node").alias("pivot")).groupBy("x", "y").agg(F.min("pivot").alias("pivot"))
+    return once.select("pivot", F.when(F.col("pivot") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("member"))
 
 
-def all_pairs(labelled: DataFrame, percent: int) -> DataFrame:
-    """(pivot, member): all pairs across components within a bucket whose sizes don't rule them out. A large bucket is split
-    among tasks by its members; pairs within a component are never made."""
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count("*") / F.lit(SALT_ROWS)).alias("salts")).where("lo < hi").select("key", "salts")
-    own = labelled.join(mixed, "key").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")))
-    other = labelled.join(mixed, "key").select("key", F.col("node").alias("pivot"), F.col("n").alias("m"), F.col("label").alias("other"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    near = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    return own.join(other, ["key", "salt"]).where((F.col("pivot") < F.col("node")) & (F.col("label") != F.col("other")) & near).select("pivot", F.col("node").alias("member")).distinct()
+def grouped(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, th, n_shingles, node) and classes (node, first: the least doc_id that has its set, label: the least
+    node of its component), both staged."""
+    sk = staged(sketches(docs, shingle), "sketch")
+    where = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    of = sk.where("n_shingles > 0").groupBy("node").agg(F.min(where).alias("at"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))
+    classes = staged(of, "classes")
+    at = classes.select("node", F.struct("at.doc_id", "at.th").alias("at"))
+    members = sized(classes.select("node", "n", F.explode(band_keys(F.col("registers"))).alias("key")))
+    # Registers are joined to pairs in each round; only those of members are needed.
+    reps = staged(classes.select("node", F.col("n").alias("n_shingles"), "registers").join(members.select("node").distinct(), "node", "left_semi"), "registers")
+
+    edges = labels = tested = None
+    pivots, again = PIVOTS, True
+    while True:
+        label = F.col("node") if labels is None else F.coalesce("label", "node")
+        labelled = staged((members if labels is None else members.join(labels, "node", "left")).withColumn("label", label), "labelled")
+        if again and pivots > PIVOTS * GROWTH:
+            again = False
+            crowd = labelled.where(F.col("size") > CROWD).join(mixed(labelled), "key", "left_semi").select("node").distinct()
+            crowd = staged(crowd, "crowded")
+            if not crowd.isEmpty():
+                # The smaller buckets stay, and end when all their members have been pivots; tested pairs aren't made again.
+                rest = members.where(F.col("size") <= CROWD).select("key", "node", "n")
+                members = sized(rest.unionByName(rare_buckets(crowd, at, docs, shingle, percent)))
+                pivots = PIVOTS
+                continue
+        pairs = star_pairs(labelled, pivots, percent)
+        if tested is not None:
+            pairs = pairs.join(tested, (F.least("pivot", "member") == F.col("x")) & (F.greatest("pivot", "member") == F.col("y")), "left_anti")
+        pairs = staged(pairs, "pairs")
+        if not pairs.isEmpty():
+            done = pairs.select(F.least("pivot", "member").alias("x"), F.greatest("pivot", "member").alias("y"))
+            tested = done if tested is None else tested.unionByName(done)
+            found = staged(verified(staged(likely(pairs, reps, percent), "likely"), at, docs, shingle, percent), "links")
+            if not found.isEmpty():
+                edges = found if edges is None else edges.unionByName(found)
+                labels = components(edges)
+        # Buckets whose members have all been pivots are done.
+        left = members.where(F.col("size") > pivots)
+        pivots *= GROWTH
+        if left.isEmpty():
+            break
+        members = left
+    if labels is None:
+        return sk, staged(classes.select("node", "at", F.col("node").alias("label")), "groups")
+    return sk, staged(classes.select("node", "at").join(labels, "node", "left").select("node", "at", F.coalesce("label", "node").alias("label")), "groups")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> DataFrame:
@@ -221,59 +338,42 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
 
     Words are maximal runs of characters other than ASCII white space, with A-Z in lower case. Documents are linked when
     100 * intersection >= percent * union of their sets; component_id is the least doc_id that can be reached. A null or
-    empty text, or one without words, has an empty set and is linked with nothing. Rows that share a doc_id count as one
-    document, whatever their texts; a row without a doc_id has its class's component, or none. Other columns are ignored; an empty table gives an empty result.
+    empty text, or one without words, has an empty set and is linked with nothing. doc_id may have any type that can be
+    ordered. Different texts under one doc_id are documents of their own; repeated rows share their component. A row
+    without a doc_id has its component's least doc_id, or none. A very long text is taken whole. Other columns are ignored;
+    an empty table gives an empty result.
     """
-    sk = staged(sketches(docs, shingle), "sketch")
-    full = sk.where("n_shingles > 0")
-    classes = full.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("node"))
-    classes = staged(classes, "classes")
-    reps = staged(full.join(classes, ["d1", "d2", "n_shingles"]).where("doc_id = node").dropDuplicates(["node", "d1", "d2"]).select("node", "n_shingles", "registers"), "reps")
-    keyed = reps.select("node", F.col("n_shingles").alias("n"), F.explode(band_keys(F.col("registers"))).alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
-    members = staged(keyed.join(buckets, "key").distinct(), "members")
-    # Registers are joined to pairs in each round; only those of members are needed.
-    reps = staged(reps.join(members.select("node").distinct(), "node", "left_semi"), "registers")
-
-    # A doc_id with several texts joins their classes.
-    many = full.join(classes, ["d1", "d2", "n_shingles"]).groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("a", "b")
-    edges = staged(many, "links")
-    labels = components(edges)
-    tested = None
-    for n in range(STAR_ROUNDS + 1):
-        labelled = members.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label")) if n else members.withColumn("label", F.col("node"))
-        pairs = star_pairs(labelled, n) if n < STAR_ROUNDS else all_pairs(labelled, percent)
-        if tested is not None:
-            pairs = pairs.join(tested, (F.least("pivot", "member") == tested["ta"]) & (F.greatest("pivot", "member") == tested["tb"]), "left_anti")
-        pairs = staged(pairs, "pairs")
-        if pairs.isEmpty():
-            continue
-        done = pairs.select(F.least("pivot", "member").alias("ta"), F.greatest("pivot", "member").alias("tb"))
-        tested = done if tested is None else tested.unionByName(done)
-        found = staged(verified(staged(likely(pairs, reps, percent), "likely"), docs, shingle, percent), "links")
-        if not found.isEmpty():
-            edges = edges.unionByName(found)
-            labels = components(edges)
-    nodes = classes.join(labels, "node", "left").select("d1", "d2", "n_shingles", F.coalesce("label", "node").alias("component"))
-    out = sk.select("doc_id", "n_shingles", "d1", "d2").join(nodes, ["d1", "d2", "n_shingles"], "left")
+    sk, groups = grouped(docs, shingle, percent)
+    least = groups.groupBy("label").agg(F.min("at.doc_id").alias("component"))
+    nodes = staged(groups.join(least, "label").select("node", "component"), "components")
+    out = sk.select("doc_id", "n_shingles", "node").join(nodes, "node", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near duplicates (five-word shingles, similarity 0.8) the least doc_id stays, once.
+    """Pipeline stage: of each group of near duplicates (five-word shingles, similarity 0.8) one row stays.
 
-    Rows without a doc_id can't be told apart and all stay.
+    That is the row of the least doc_id (rows without one come last), then of the least text hash; of repeated rows of
+    this doc_id and text the one of the least hash over all its columns. Different texts under one doc_id are told
+    apart. Texts without words are in no group and all stay.
     """
-    g, a = fresh(docs, "gone"), fresh(docs, "again")
-    gone = near_duplicates(docs.where("doc_id IS NOT NULL"), shingle=5).where("NOT kept").select(F.col("doc_id").alias(g)).distinct()
-    gone = staged(gone, "gone")
-    left = docs.join(small(gone), F.col("doc_id") == F.col(g), "left_anti")
-    again = staged(left.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(a)), "again")
+    sk, groups = grouped(docs, 5, 80)
+    first = groups.groupBy("label").agg(F.min("at").alias("first"))
+    nodes = staged(groups.join(first, "label").select("node", "first"), "firsts")
+    rows = sk.where("node IS NOT NULL").groupBy("node", "doc_id", "th").agg(F.count("*").alias("n")).join(nodes, "node")
+    other = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th")))
+    rows = rows.select("doc_id", "th", other.alias("gone"), "n").where("gone OR n > 1")
+    d, t, g = (fresh(docs, x) for x in ("of_id", "of_text", "gone"))
+    rows = staged(rows.select(F.col("doc_id").alias(d), F.col("th").alias(t), F.col("gone").alias(g)), "gone")
+    same = F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64(F.col("text").cast("string")) == F.col(t))
+    left = docs.join(small(rows), same, "left_anti")
+    again = rows.where(~F.col(g))
     if again.isEmpty():
         return left
-    same = F.col("doc_id") == F.col(a)
-    return left.join(small(again), same, "left_anti").unionByName(left.join(small(again), same, "left_semi").dropDuplicates(["doc_id"]))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    twice = docs.join(small(staged(again, "again")), same).groupBy(d, t).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias(g))
+    return left.unionByName(twice.select(f"{g}.*"))
 
 
 ORACLE_SQL = r"""

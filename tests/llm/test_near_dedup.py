@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexigraph.llm import near_dedup as nd
 from lexigraph.llm import queries
@@ -40,18 +41,47 @@ def test_chains_and_hot_groups(spark):
     held(spark, docs)
 
 
+def test_unlike_texts_with_shared_boilerplate(spark, monkeypatch):
+    """Many texts that share half their words and are unlike: their buckets are banded again, and no link is lost."""
+    monkeypatch.setattr(nd, "CROWD", 8)
+    rng = random.Random(6)
+    shared = [f"b{i}" for i in range(60)]
+    docs = []
+    for i in range(150):
+        own = [f"o{rng.randrange(10**6)}" for _ in range(60)]
+        docs.append((10 * i, " ".join(own + shared)))
+        if i % 5 == 0:
+            docs.append((10 * i + 1, " ".join(own[:-1] + ["edited"] + shared)))
+    calls = []
+    monkeypatch.setattr(nd, "rare_buckets", lambda *a, f=nd.rare_buckets: calls.append(1) or f(*a))
+    held(spark, docs)
+    assert calls
+
+
 def test_odd_rows(spark):
     out = nd.near_duplicates(odd_docs(spark)).collect()
     assert len(out) == 13
-    of = {r.doc_id: r.component_id for r in out if r.doc_id is not None}
-    assert of[1] == 1 and of[2] == 2 and of[3] == 3 and of[4] == 4 and of[6] == 5 and of[9] == 9 and of[7] == 5
+    of = {(r.doc_id, r.n_shingles): r.component_id for r in out if r.doc_id is not None}
+    assert of[1, 0] == 1 and of[2, 0] == 2 and of[3, 0] == 3 and of[6, 24] == 5 and of[9, 1] == 9 and of[7, 25] == 5 and of[7, 3] == 7
     assert sorted(r.component_id or -1 for r in out if r.doc_id is None) == [-1, 5]
     assert nd.near_duplicates(no_docs(spark)).collect() == []
     kept = nd.stage(spark, odd_docs(spark), "")
-    assert kept.columns == odd_docs(spark).columns and sorted(r.doc_id or -1 for r in kept.collect()) == [-1, -1, 1, 2, 3, 4, 5, 8, 9]
+    assert kept.columns == odd_docs(spark).columns and sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 2, 3, 4, 5, 7, 8, 9]
     assert nd.stage(spark, no_docs(spark), "").count() == 0
 
 
+def test_ids_of_any_type(spark):
+    docs = odd_docs(spark)
+    named = docs.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    got, want = (sorted((str(r.component_id or ""), r.n_shingles, r.kept) for r in nd.near_duplicates(x).collect()) for x in (named, docs))
+    assert got == [("d" + c if c else "", n, k) for c, n, k in want]
+
+
+def test_two_texts_under_one_id_both_stay(spark):
+    docs = spark.createDataFrame([(7, "alpha beta gamma delta epsilon"), (7, "quite other words than these"), (8, "alpha beta gamma delta epsilon"), (8, "one more text of its own")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text[:5]) for r in nd.stage(spark, docs, "").collect()) == [(7, "alpha"), (7, "quite"), (8, "one m")]
+
+
 def test_registers_merge_and_estimate():
     rng = np.random.default_rng(1)
     a, b = np.unique(rng.integers(0, 2**64, 900, np.uint64)), np.unique(rng.integers(0, 2**64, 100, np.uint64))

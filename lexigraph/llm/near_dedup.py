@@ -236,25 +236,23 @@ def rare_buckets(nodes: DataFrame, at: DataFrame, docs: DataFrame, shingle: int,
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the least node of each connected component, by alternating large and small stars, written each round."""
+    """(node, label): the least node of each connected component, by alternating large and small stars, written each round
+    until all are stars: no node but a centre has two neighbours, and no centre has one below it."""
+    e = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
 
-    def fingerprint(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+    def stars() -> bool:
+        ends = e.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("below")), F.struct(F.col("v").alias("x"), F.lit(0).alias("below")))).alias("o"))
+        odd = (F.sum("o.below") > 1) | ((F.sum("o.below") > 0) & (F.min("o.below") == 0))
+        return ends.groupBy("o.x").agg(odd.alias("odd")).where("odd").isEmpty()
 
-    e = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    before = fingerprint(e)
-    while before[0]:
+    while not stars():
         sym = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = sym.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = sym.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         star = large.join(least, "u")
         e = staged(star.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(star.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
-        after = fingerprint(e)
-        if after == before:
-            break
-        before = after
-    return e.groupBy("u").agg(F.min("v").alias("label")).withColumnRenamed("u", "node")
+    return e.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
 def sized(keyed: DataFrame) -> DataFrame:
@@ -264,22 +262,22 @@ def sized(keyed: DataFrame) -> DataFrame:
 
 
 def mixed(labelled: DataFrame) -> DataFrame:
-    """key of the buckets with several components, and p: the member that ranks first."""
+    """labelled (key, node, n, size, v, label) without buckets of one component, and p: the bucket's member that ranks first."""
     first = F.min_by(F.struct("v", "node", "n", "label"), F.struct("v", "node")).alias("p")
-    return labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), first).where("lo < hi").select("key", "p")
+    return labelled.join(labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), first).where("lo < hi").select("key", "p"), "key")
 
 
-def star_pairs(labelled: DataFrame, pivots: int, percent: int) -> DataFrame:
-    """(pivot, member), each pair once: in each bucket of several components its first `pivots` members (about as many) with
+def star_pairs(live: DataFrame, pivots: int, percent: int) -> DataFrame:
+    """(pivot, member), each pair once: in each bucket of live (as of mixed) its first `pivots` members (about as many) with
     those that rank behind them, lie in another component, and aren't ruled out by the sets' sizes."""
-    of = mixed(labelled)
+    names = ("v", "node", "n", "label")
     if pivots == 1:
-        p = of.select("key", "p.*")
+        pairs = live.select("key", *names, *(F.col(f"p.{c}").alias(f"p_{c}") for c in names))
     else:
-        p = labelled.join(of, "key", "left_semi").where(F.col("v") < pivots).select("key", "v", "node", "n", "label")
-    p = p.select("key", *(F.col(c).alias(f"p_{c}") for c in ("v", "node", "n", "label")))
+        p = live.where(F.col("v") < pivots).select("key", *(F.col(c).alias(f"p_{c}") for c in names))
+        pairs = live.join(p, "key")
     near = F.least("n", "p_n") * 100 >= F.greatest("n", "p_n") * percent
-    pairs = labelled.join(p, "key").where((F.struct("p_v", "p_node") < F.struct("v", "node")) & (F.col("label") != F.col("p_label")) & near)
+    pairs = pairs.where((F.struct("p_v", "p_node") < F.struct("v", "node")) & (F.col("label") != F.col("p_label")) & near)
     once = pairs.select(F.least("p_node", "node").alias("x"), F.greatest("p_node", "node").alias("y"), F.col("p_node").alias("pivot")).groupBy("x", "y").agg(F.min("pivot").alias("pivot"))
     return once.select("pivot", F.when(F.col("pivot") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("member"))
 
@@ -299,19 +297,19 @@ def grouped(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, Dat
     edges = labels = tested = None
     pivots, again = PIVOTS, True
     while True:
-        label = F.col("node") if labels is None else F.coalesce("label", "node")
-        labelled = staged((members if labels is None else members.join(labels, "node", "left")).withColumn("label", label), "labelled")
-        if again and pivots > PIVOTS * GROWTH:
-            again = False
-            crowd = labelled.where(F.col("size") > CROWD).join(mixed(labelled), "key", "left_semi").select("node").distinct()
-            crowd = staged(crowd, "crowded")
-            if not crowd.isEmpty():
-                # The smaller buckets stay, and end when all their members have been pivots; tested pairs aren't made again.
-                rest = members.where(F.col("size") <= CROWD).select("key", "node", "n")
-                members = sized(rest.unionByName(rare_buckets(crowd, at, docs, shingle, percent)))
-                pivots = PIVOTS
-                continue
-        pairs = star_pairs(labelled, pivots, percent)
+        own = members.withColumn("label", F.col("node")) if labels is None else members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        live = staged(mixed(own), "live")
+        largest = live.agg(F.max("size")).first()[0]
+        if largest is None:
+            break
+        if again and pivots > PIVOTS * GROWTH and largest > CROWD:
+            # The smaller buckets stay, and end when all their members have been pivots; tested pairs aren't made again.
+            again, pivots = False, PIVOTS
+            crowd = staged(live.where(F.col("size") > CROWD).select("node").distinct(), "crowd")
+            rest = live.where(F.col("size") <= CROWD).select("key", "node", "n")
+            members = sized(rest.unionByName(rare_buckets(crowd, at, docs, shingle, percent)))
+            continue
+        pairs = star_pairs(live, pivots, percent)
         if tested is not None:
             pairs = pairs.join(tested, (F.least("pivot", "member") == F.col("x")) & (F.greatest("pivot", "member") == F.col("y")), "left_anti")
         pairs = staged(pairs, "pairs")
@@ -322,12 +320,11 @@ def grouped(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, Dat
             if not found.isEmpty():
                 edges = found if edges is None else edges.unionByName(found)
                 labels = components(edges)
-        # Buckets whose members have all been pivots are done.
-        left = members.where(F.col("size") > pivots)
-        pivots *= GROWTH
-        if left.isEmpty():
+        if largest <= pivots:
             break
-        members = left
+        # Buckets whose members have all been pivots are done, and a bucket of one component stays one.
+        members = live.where(F.col("size") > pivots).drop("label", "p")
+        pivots *= GROWTH
     if labels is None:
         return sk, staged(classes.select("node", "at", F.col("node").alias("label")), "groups")
     return sk, staged(classes.select("node", "at").join(labels, "node", "left").select("node", "at", F.coalesce("label", "node").alias("label")), "groups")

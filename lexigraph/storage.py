@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: A staged table of at most this many bytes on disk may be broadcast; beyond it the join is shuffled. Hash columns don't
 #: compress, so in memory a table takes some ten times that at most.
-BROADCAST_BYTES = 4 << 20
+BROADCAST_BYTES = 1 << 20
 #: The same for a table that isn't staged, in counted rows of fixed width (ids, numbers).
 BROADCAST_ROWS = 200_000
 

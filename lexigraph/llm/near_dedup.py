@@ -6,7 +6,7 @@ sets' registers agree with a probability near their Jaccard similarity. Document
 candidates. A candidate pair goes to verification unless the joint likelihood of its registers rules the similarity out;
 verification compares the full sets.
 
-Hot groups: documents with equal sets are one class, named by the set's 128-bit digest. A bucket's pairs are never made at
+Hot groups: documents with equal sets (by a 128-bit digest) are one class, a numbered node. A bucket's pairs are never made at
 once: in each round a few of its members are pivots, eight times as many as the last time, and only members in another
 component than the pivot are paired with it; then components are formed anew, and buckets of one component are left. So a
 group of copies takes a round or two however large it is. A bucket that keeps more than CROWD members in several
@@ -37,6 +37,7 @@ PIVOTS, GROWTH = 1, 8
 #: A bucket of more members that is left after two rounds is banded again.
 CROWD = 64
 SALT_ROWS = 2000
+RANKS = 1 << 62
 #: Counters that estimate how many sets hold a shingle; their number doesn't depend on the data.
 CELL_BITS = 18
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -83,7 +84,7 @@ def _sketch(shingle: int):
                 some = size.tolist()
                 cols = [[x.tobytes() if s else None for x, s in zip(of, some)] for of in (digest, registers(h, row, n))]
                 own = [batch.column(c).slice(at, n) for c in ("doc_id", "th")]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(size.astype(np.int64)), *(pa.array(c, pa.binary()) for c in cols)], ["doc_id", "th", "n_shingles", "node", "registers"])
+                yield pa.RecordBatch.from_arrays([*own, pa.array(size.astype(np.int64)), *(pa.array(c, pa.binary()) for c in cols)], ["doc_id", "th", "n_shingles", "digest", "registers"])
 
     return run
 
@@ -94,10 +95,10 @@ def hashed(docs: DataFrame) -> DataFrame:
 
 
 def sketches(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id, th, n_shingles, node (a 128-bit digest of the set), registers (both null for an empty set)."""
+    """doc_id, th, n_shingles, digest (of the set, 128 bits), registers (both null for an empty set)."""
     ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return hashed(docs).mapInArrow(_sketch(shingle), f"doc_id {kind}, th long, n_shingles long, node binary, registers binary")
+    return hashed(docs).mapInArrow(_sketch(shingle), f"doc_id {kind}, th long, n_shingles long, digest binary, registers binary")
 
 
 def band_keys(column: Column) -> Column:
@@ -141,7 +142,7 @@ def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     side = lambda key, r, n: reps.select(F.col("node").alias(key), F.col("registers").alias(r), F.col("n_shingles").alias(n))
     both = pairs.join(side("pivot", "ra", "na"), "pivot").join(side("member", "rb", "nb"), "member")
     both = both.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    return both.select("pivot", "member", "ra", "na", "rb", "nb").mapInArrow(_likely(percent), "pivot binary, member binary")
+    return both.select("pivot", "member", "ra", "na", "rb", "nb").mapInArrow(_likely(percent), "pivot long, member long")
 
 
 def _verify(shingle: int, percent: int):
@@ -155,7 +156,7 @@ def _verify(shingle: int, percent: int):
             for at, to in tv.slices(texts):
                 h, row = tv.distinct(*tv.Words(texts.slice(at, to - at)).shingles(shingle))
                 ends = np.searchsorted(row, np.arange(to - at + 1))
-                found: list[tuple[bytes, bytes]] = []
+                found: list[tuple[int, int]] = []
                 for i in range(at, to):
                     own = h[ends[i - at] : ends[i - at + 1]]
                     if keys[i] != pivot:
@@ -169,7 +170,7 @@ def _verify(shingle: int, percent: int):
                                 found.append((pivot[0], members[i]))
                                 break
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
 
@@ -190,7 +191,7 @@ def verified(pairs: DataFrame, at: DataFrame, docs: DataFrame, shingle: int, per
     members = salted.withColumn("role", F.lit(1)).unionByName(salted.select("pivot", "salt", F.col("pivot").alias("member"), F.lit(0).alias("role")).distinct())
     needs = members.join(at.withColumnRenamed("node", "member"), "member")
     rows = _texts(needs, docs).repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "role").select("pivot", "salt", "role", "member", "text")
-    return rows.mapInArrow(_verify(shingle, percent), "a binary, b binary")
+    return rows.mapInArrow(_verify(shingle, percent), "a long, b long")
 
 
 def _cells(shingle: int):
@@ -232,7 +233,7 @@ def rare_buckets(nodes: DataFrame, at: DataFrame, docs: DataFrame, shingle: int,
     for r in cells.collect():  # at most 2 to the CELL_BITS rows
         counts[r.cell] = r.n
     shared = nodes.sparkSession.sparkContext.broadcast(counts)
-    return texts.mapInArrow(_rarest(shared, shingle, percent), "node binary, n long, key long").distinct()
+    return texts.mapInArrow(_rarest(shared, shingle, percent), "node long, n long, key long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -256,39 +257,40 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def sized(keyed: DataFrame) -> DataFrame:
-    """key, node, n of buckets of two members or more, with size and v, a number below size that ranks the bucket's members."""
+    """key, node, n of buckets of two members or more, with size and rank, a hash of the node from 0 to RANKS."""
     sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    return staged(keyed.join(sizes, "key").withColumn("v", F.pmod(F.xxhash64("node", F.lit(7)), F.col("size"))), "members")
+    return staged(keyed.join(sizes, "key").withColumn("rank", F.shiftrightunsigned(F.xxhash64("node", F.lit(7)), 2)), "members")
 
 
 def mixed(labelled: DataFrame) -> DataFrame:
-    """labelled (key, node, n, size, v, label) without buckets of one component, and p: the bucket's member that ranks first."""
-    first = F.min_by(F.struct("v", "node", "n", "label"), F.struct("v", "node")).alias("p")
-    return labelled.join(labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), first).where("lo < hi").select("key", "p"), "key")
+    """labelled (key, node, n, size, rank, label) without buckets of one component, and p_node, p_n, p_rank, p_label of the
+    bucket's member that ranks first."""
+    first = [F.min_by(c, "rank").alias(f"p_{c}") for c in ("node", "n", "label")]
+    of = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("rank").alias("p_rank"), *first)
+    return labelled.join(of.where("lo < hi").drop("lo", "hi"), "key")
 
 
 def star_pairs(live: DataFrame, pivots: int, percent: int) -> DataFrame:
     """(pivot, member), each pair once: in each bucket of live (as of mixed) its first `pivots` members (about as many) with
     those that rank behind them, lie in another component, and aren't ruled out by the sets' sizes."""
-    names = ("v", "node", "n", "label")
-    if pivots == 1:
-        pairs = live.select("key", *names, *(F.col(f"p.{c}").alias(f"p_{c}") for c in names))
-    else:
-        p = live.where(F.col("v") < pivots).select("key", *(F.col(c).alias(f"p_{c}") for c in names))
-        pairs = live.join(p, "key")
+    names = ("rank", "node", "n", "label")
+    pairs = live
+    if pivots > 1:
+        first = F.col("rank").cast("double") * F.col("size") < float(pivots) * RANKS
+        pairs = live.select("key", *names).join(live.where(first).select("key", *(F.col(c).alias(f"p_{c}") for c in names)), "key")
     near = F.least("n", "p_n") * 100 >= F.greatest("n", "p_n") * percent
-    pairs = pairs.where((F.struct("p_v", "p_node") < F.struct("v", "node")) & (F.col("label") != F.col("p_label")) & near)
+    pairs = pairs.where((F.col("p_rank") < F.col("rank")) & (F.col("label") != F.col("p_label")) & near)
     once = pairs.select(F.least("p_node", "node").alias("x"), F.greatest("p_node", "node").alias("y"), F.col("p_node").alias("pivot")).groupBy("x", "y").agg(F.min("pivot").alias("pivot"))
     return once.select("pivot", F.when(F.col("pivot") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("member"))
 
 
 def grouped(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, th, n_shingles, node) and classes (node, first: the least doc_id that has its set, label: the least
-    node of its component), both staged."""
+    """Rows (doc_id, th, n_shingles, digest) and classes (digest, at: the least doc_id that has the set, with its text's
+    hash; label: the least node of the component), both staged."""
     sk = staged(sketches(docs, shingle), "sketch")
     where = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
-    of = sk.where("n_shingles > 0").groupBy("node").agg(F.min(where).alias("at"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))
-    classes = staged(of, "classes")
+    of = sk.where("n_shingles > 0").groupBy("digest").agg(F.min(where).alias("at"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))
+    classes = staged(of.withColumn("node", F.monotonically_increasing_id()), "classes")
     at = classes.select("node", F.struct("at.doc_id", "at.th").alias("at"))
     members = sized(classes.select("node", "n", F.explode(band_keys(F.col("registers"))).alias("key")))
     # Registers are joined to pairs in each round; only those of members are needed.
@@ -303,8 +305,8 @@ def grouped(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, Dat
         if largest is None:
             break
         if again and pivots > PIVOTS * GROWTH and largest > CROWD:
-            # The smaller buckets stay, and end when all their members have been pivots; tested pairs aren't made again.
-            again, pivots = False, PIVOTS
+            # The other buckets stay; in this round all their members are pivots, and tested pairs aren't made again.
+            again = False
             crowd = staged(live.where(F.col("size") > CROWD).select("node").distinct(), "crowd")
             rest = live.where(F.col("size") <= CROWD).select("key", "node", "n")
             members = sized(rest.unionByName(rare_buckets(crowd, at, docs, shingle, percent)))
@@ -323,11 +325,11 @@ def grouped(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, Dat
         if largest <= pivots:
             break
         # Buckets whose members have all been pivots are done, and a bucket of one component stays one.
-        members = live.where(F.col("size") > pivots).drop("label", "p")
+        members = live.where(F.col("size") > pivots).select("key", "node", "n", "size", "rank")
         pivots *= GROWTH
-    if labels is None:
-        return sk, staged(classes.select("node", "at", F.col("node").alias("label")), "groups")
-    return sk, staged(classes.select("node", "at").join(labels, "node", "left").select("node", "at", F.coalesce("label", "node").alias("label")), "groups")
+    groups = classes.select("digest", "node", F.struct("at.none", "at.doc_id", "at.th").alias("at"))
+    groups = groups.withColumn("label", F.col("node")) if labels is None else groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return sk, staged(groups.drop("node"), "groups")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> DataFrame:
@@ -342,8 +344,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
     """
     sk, groups = grouped(docs, shingle, percent)
     least = groups.groupBy("label").agg(F.min("at.doc_id").alias("component"))
-    nodes = staged(groups.join(least, "label").select("node", "component"), "components")
-    out = sk.select("doc_id", "n_shingles", "node").join(nodes, "node", "left")
+    nodes = staged(groups.join(least, "label").select("digest", "component"), "components")
+    out = sk.select("doc_id", "n_shingles", "digest").join(nodes, "digest", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
@@ -357,8 +359,8 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     sk, groups = grouped(docs, 5, 80)
     first = groups.groupBy("label").agg(F.min("at").alias("first"))
-    nodes = staged(groups.join(first, "label").select("node", "first"), "firsts")
-    rows = sk.where("node IS NOT NULL").groupBy("node", "doc_id", "th").agg(F.count("*").alias("n")).join(nodes, "node")
+    nodes = staged(groups.join(first, "label").select("digest", "first"), "firsts")
+    rows = sk.where("digest IS NOT NULL").groupBy("digest", "doc_id", "th").agg(F.count("*").alias("n")).join(nodes, "digest")
     other = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th")))
     rows = rows.select("doc_id", "th", other.alias("gone"), "n").where("gone OR n > 1")
     d, t, g = (fresh(docs, x) for x in ("of_id", "of_text", "gone"))

@@ -53,7 +53,8 @@ def components(docs, k, percent=80):
 
 
 def overlaps(text, item, enough=13):
-    """Whether some alignment of item in text has a run with at most one mismatch in five and enough matches."""
+    """Whether some alignment of item in text has a segment with at most one mismatch in five and enough matches: all
+    segments of all alignments are tried."""
     norm = lambda t: re.findall(r"[^\W_]+", t.lower())
     d, b = norm(text), norm(item)
     if len(b) < 5:
@@ -65,14 +66,11 @@ def overlaps(text, item, enough=13):
     for shift, n in Counter(i - j for j, w in enumerate(b) for i in at[w]).items():
         if n < need:
             continue
-        total, least, gain, start, best = 0, 0, 0, 0, 0
-        same = [0 <= shift + j < len(d) and d[shift + j] == b[j] for j in range(len(b))]
-        for j, s in enumerate(same):
-            total += 1 if s else -4
-            if total < least:
-                least, start = total, j + 1
-            if total - least > gain:
-                gain, best = total - least, sum(same[start : j + 1])
-        if best >= need:
-            return True
+        same = [d[shift + j] == b[j] for j in range(len(b)) if 0 <= shift + j < len(d)]
+        for start in range(len(same)):
+            matched = 0
+            for k, s in enumerate(same[start:], 1):
+                matched += s
+                if matched >= need and 5 * (k - matched) <= k:
+                    return True
     return False

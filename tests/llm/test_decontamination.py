@@ -32,14 +32,21 @@ def test_substitutions(spark):
     assert got == want and {(10 * i, i) for i in (0, 1, 2, 3, 5)} <= got and not any(i == 4 for _, i in got)
 
 
-def test_blocks_give_the_same(spark, sf, monkeypatch):
+def test_join_gives_the_same(spark, sf, monkeypatch):
     docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    short = spark.createDataFrame([(900, "Ends here"), (901, "the and attion to thanedble other")], ITEM)
+    bench = bench.unionByName(short)
     one = sorted(map(tuple, dc.contaminated(docs, bench).collect()))
-    clean = dc.decontaminated(docs, bench).count()
+    clean = sorted(map(tuple, dc.decontaminated(docs, bench).collect()))
     monkeypatch.setattr(dc, "BLOCK_WORDS", 1500)
-    assert len(list(dc.blocks(bench))) > 1
-    assert sorted(map(tuple, dc.contaminated(docs, bench).collect())) == one
-    assert dc.decontaminated(docs, bench).count() == clean == docs.count() - len({r[0] for r in one})
+    assert dc.block(bench) is None
+    assert sorted(map(tuple, dc.contaminated(docs, bench).collect())) == one and len({r[1] for r in one}) > 3
+    assert sorted(map(tuple, dc.decontaminated(docs, bench).collect())) == clean and len(clean) == docs.count() - len({r[0] for r in one})
+    docs = odd_docs(spark)
+    items = spark.createDataFrame([(1, "quick brown fox jumps over the lazy dog and then it runs far " * 300), (1, "quick brown fox jumps over the lazy dog and then it runs far"), (1, "quick brown fox jumps over the lazy dog and then it runs far")], ITEM)
+    got = sorted((r.doc_id or -1) for r in dc.contaminated(docs, items).collect())
+    left = dc.decontaminated(docs, items)
+    assert set(got) == {-1, 5, 6, 7} and left.columns == docs.columns and left.count() == 8
 
 
 def test_odd_rows(spark):

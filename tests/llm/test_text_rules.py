@@ -40,6 +40,28 @@ def test_thresholds_adapt(spark):
     assert kept[0] and kept[1000] and not kept[5000] and kept[5001] and not kept[5002]
 
 
+def test_limits_come_from_the_sketches(spark):
+    """On rows of eight sources no constant cutoff gives the verdicts: a rate that is normal in one fails in another; a
+    source of few texts is judged mostly as its language is."""
+    text = lambda i, k: " ".join(f"w{i % 7}x{j}" + "#" * (j < k) for j in range(60))
+    rows = [(100 * s + i, text(i, 4 * s + i % 3), "en", f"s{s}") for s in range(8) for i in range(90)]
+    rows += [(9000 + 100 * s + k, text(1, k), "en", f"s{s}") for s in range(8) for k in range(0, 61, 4)] + [(9900 + k, text(1, k), "en", "few") for k in (0, 60)]
+    df, con = fixture(spark, rows)
+    same_as_sql(quality_rules.quality_rules(df), con, quality_rules.ORACLE_SQL)
+    got = {r.doc_id: r for r in quality_rules.quality_rules(df).collect()}
+    assert len({got[9000 + 100 * s].limit_symbols for s in range(8)}) >= 6
+    verdicts = {(r.n_symbols, r.kept) for d, r in got.items() if 9000 <= d < 9900}
+    both = [n for n, kept in verdicts if (n, not kept) in verdicts]
+    assert len(both) >= 4  # the same text, other verdicts
+    assert got[9900].kept and got[9900].limit_symbols > 0
+
+
+def test_limits_differ_by_group(spark):
+    """On the small table too each language and source has a limit of its own."""
+    rows = quality_rules.quality_rules(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
+    assert len({r.limit_capitals for r in rows}) > 5
+
+
 def test_sketches_merge(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     measured = docs.select("lang", "source", quality_rules.measures(docs.text).alias("m")).cache()

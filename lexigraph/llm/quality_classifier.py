@@ -160,15 +160,16 @@ def _score(shared):
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row a row of docs (doc_id, text): doc_id, held_out, score, predicted (score >= 0.3). labels: doc_id, quality.
 
-    Labels of held-out rows are never read. A null text counts as empty and has the score of the constant alone; repeated
-    rows score alike; without trusted positives every score is 0.5; other columns are ignored; an empty table gives an
+    Labels of held-out rows are never read; of clashing labels of a doc_id the least counts, so it isn't trusted. A null
+    text counts as empty and has the score of the constant alone; a very long text is scored whole; repeated rows score
+    alike; without trusted positives every score is 0.5; other columns are ignored; an empty table gives an
     empty result. Rows with no doc_id are neither held out nor labelled.
     """
     spark = docs.sparkSession
     ship(spark)
     kind = dict(docs.dtypes)["doc_id"]
     out_ = F.coalesce(held_out(F.col("doc_id")), F.lit(False))
-    y = labels.select("doc_id", F.col("quality").cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)").where(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
+    y = labels.select("doc_id", F.col("quality").cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("y").alias("y"))
     featured = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_featured, f"doc_id {kind}, x array<float>")
     good = y.where("y = 1").select("doc_id", F.lit(True).alias("positive"))
     rows = staged(featured.join(good, "doc_id", "left").select("doc_id", "x", F.coalesce("positive", F.lit(False)).alias("positive")), "features")

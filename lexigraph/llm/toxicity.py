@@ -2,7 +2,11 @@
 
 P(grade <= j) = sigmoid(threshold_j - w.x): the weights are shared, the thresholds ordered. x has, for each chosen
 feature (a word, or a beginning of a word, by hash), the logarithm of 1 plus its count. Features are chosen by how much
-more often documents of a higher grade hold them; the expected grade is the severity.
+more or less often toxic documents hold them; the expected grade is the severity.
+
+Where labels only say toxic or not, the grades come from scores that a row had no part in: the learning rows are split in
+two by hash, a model of either half (features and weights) scores the other, and the toxic rows of a half are graded by
+which third of its toxic scores they lie in.
 """
 
 from __future__ import annotations
@@ -44,11 +48,12 @@ def features(w: tv.Words) -> tuple[np.ndarray, np.ndarray]:
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = tv.filled(batch.column("text"))
+        texts, part = tv.filled(batch.column("text")), batch.column("part").to_numpy().astype(np.int64)
         for at, to in tv.slices(texts, 4 * tv.SLICE_BYTES):
-            h, _ = tv.distinct(*features(tv.Words(texts.slice(at, to - at), tv.ALNUM, lower="latin")))
-            h, n = np.unique(h, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["feature", "n"])
+            h, row = tv.distinct(*features(tv.Words(texts.slice(at, to - at), tv.ALNUM, lower="latin")))
+            for k in np.unique(part[at:to]):
+                f, n = np.unique(h[part[at:to][row] == k], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(np.full(len(f), k, np.int32)), pa.array(n)], ["feature", "part", "n"])
 
 
 def _lookup(known: np.ndarray, w: tv.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,46 +142,74 @@ def _gain(n: Column, m: Column, positives: int, negatives: int) -> Column:
     return 2 * (parts[0] + parts[1] + parts[2] + parts[3])
 
 
+def _chosen(counts: DataFrame, halves: tuple[int, ...], sizes: dict[int, int]) -> np.ndarray:
+    """The FEATURES best features of the given halves, sorted. counts: feature, n0, n1 (toxic rows of each half that hold
+    it), m0, m1 (others); sizes: rows by part (a half, plus 2 if toxic)."""
+    total = lambda name: sum((F.col(f"{name}{h}") for h in halves[1:]), F.col(f"{name}{halves[0]}"))
+    p, q = (sum(sizes.get(h + k, 0) for h in halves) for k in (2, 0))
+    if not p or not q:
+        return np.zeros(0, np.uint64)
+    odds = F.log((F.col("n") + 0.5) / (p + 1)) - F.log((F.col("m") + 0.5) / (q + 1))
+    best = counts.select("feature", total("n").alias("n"), total("m").alias("m")).where(F.col("n") + F.col("m") >= LEAST_DOCS)
+    best = best.select("feature", _gain(F.col("n"), F.col("m"), p, q).alias("gain"), odds.alias("odds")).where((F.abs("odds") > 1) & (F.col("gain") > LEAST_GAIN))
+    return np.sort(np.array([r.feature for r in best.orderBy(F.desc("gain"), "feature").limit(FEATURES).collect()], np.int64).view(np.uint64))
+
+
+def _grades(known: np.ndarray, halves: list[np.ndarray], half: np.ndarray, toxic: np.ndarray, row: np.ndarray, f: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """0 for rows that aren't toxic, else 1 to GRADES: each half's toxic rows by the model of the other half."""
+    grade = toxic.astype(np.int64)
+    for k in (0, 1):
+        own = np.flatnonzero((half == k) & toxic)
+        column = np.searchsorted(halves[1 - k], known)
+        column = np.where((column < len(halves[1 - k])) & np.isin(known, halves[1 - k]), column, -1)
+        learn, use = half == 1 - k, column[f] >= 0
+        if not len(own) or not use.any() or len(np.unique(toxic[learn])) < 2:
+            continue
+        renumbered = np.cumsum(learn) - 1
+        a = use & learn[row]
+        w, _ = fit_ordinal(renumbered[row[a]], column[f[a]], x[a], toxic[learn].astype(np.int64), len(halves[1 - k]), 2)
+        score = np.bincount(row[use], x[use] * w[column[f[use]]], minlength=len(half))[own]
+        grade[own] = 1 + np.searchsorted(np.quantile(score, [j / GRADES for j in range(1, GRADES)]), score, "left")
+    return grade
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn from docs (doc_id, text) and labels (doc_id, toxic 0 or 1, or a whole grade from 0 in column `grade`).
 
-    From at most TOXIC_ROWS rows above grade 0 and OTHER_ROWS at 0, none held out. Where labels have no grades, a toxic
-    row's grade from 1 to GRADES is its third by the logarithms of its counts of strong features. Without rows of both kinds, the
-    model has no features and predicts grade 0.
+    From at most TOXIC_ROWS rows above grade 0 and OTHER_ROWS at 0, none held out. Of clashing labels of a doc_id the
+    greatest counts, of different texts the one of the least hash. Without rows of both kinds, the model has no features
+    and predicts grade 0.
     """
     spark = docs.sparkSession
     ship(spark)
     given = "grade" in labels.columns
-    y = labels.select("doc_id", F.col("grade" if given else "toxic").cast("int").alias("y")).where("doc_id IS NOT NULL AND y IS NOT NULL").where(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
+    y = labels.select("doc_id", F.col("grade" if given else "toxic").cast("int").alias("y")).where("doc_id IS NOT NULL AND y IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
     first = lambda part, n: part.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = first(y.where("y > 0"), TOXIC_ROWS).unionByName(first(y.where("y = 0"), OTHER_ROWS))
-    rows = staged(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]), "labelled")
-    count = {bool(r.t): r.n for r in rows.groupBy((F.col("y") > 0).alias("t")).agg(F.count("*").alias("n")).collect()}
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    one = docs.select("doc_id", text.alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("y").alias("y"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    half = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("half")), F.lit(2)).cast("int")
+    rows = staged(one.withColumn("part", half + F.when(F.col("y") > 0, 2).otherwise(0)), "labelled")
+    sizes = {r.part: r["count"] for r in rows.groupBy("part").count().collect()}
     none = Model(np.zeros(0, np.uint64), np.zeros(0), np.full(GRADES, 30.0))
-    if len(count) < 2:
-        return none
-    freq = lambda part: part.select("text").repartition(16).mapInArrow(_frequencies, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
-    pos = freq(rows.where("y > 0")).where(F.col("n") >= LEAST_DOCS)
-    both = pos.join(freq(rows.where("y = 0")).withColumnRenamed("n", "m"), "feature", "left").fillna(0, ["m"])
-    odds = F.log((F.col("n") + 0.5) / (count[True] + 1)) - F.log((F.col("m") + 0.5) / (count[False] + 1))
-    best = both.select("feature", _gain(F.col("n"), F.col("m"), count[True], count[False]).alias("gain"), odds.alias("odds")).where((F.col("odds") > 1) & (F.col("gain") > LEAST_GAIN)).orderBy(F.desc("gain"), "feature").limit(FEATURES).collect()
-    if not best:
+    found = rows.select("text", "part").repartition(16).mapInArrow(_frequencies, "feature long, part int, n long")
+    of = lambda part, name: F.coalesce(F.sum(F.when(F.col("part") == part, F.col("n"))), F.lit(0)).alias(name)
+    counts = found.groupBy("feature").agg(of(0, "m0"), of(1, "m1"), of(2, "n0"), of(3, "n1"))
+    counts = staged(counts.where(F.expr("m0 + m1 + n0 + n1") >= LEAST_DOCS), "frequencies")
+    chosen_ = [_chosen(counts, h, sizes) for h in ((0, 1), (0,), (1,))]
+    if not len(chosen_[0]):
         return none
-    order = np.argsort(np.array([r.feature for r in best], np.int64).view(np.uint64))
-    known = np.array([r.feature for r in best], np.int64).view(np.uint64)[order]
-    strong = np.array([r.odds for r in best])[order] > 4
-    got = rows.select("doc_id", "y", "text").mapInArrow(_rows(spark.sparkContext.broadcast(known), ["doc_id", "y"]), "doc_id long, y int, f array<int>, n array<int>").toPandas().sort_values("doc_id")
-    sizes = got["f"].map(len).to_numpy()
-    row = np.repeat(np.arange(len(got)), sizes)
+    known = np.unique(np.concatenate(chosen_))
+    got = rows.select("doc_id", "y", "part", "text").mapInArrow(_rows(spark.sparkContext.broadcast(known), ["y", "part"]), "y int, part int, f array<int>, n array<int>").toPandas()
+    row = np.repeat(np.arange(len(got)), got["f"].map(len).to_numpy())
     f = np.concatenate([*got["f"], np.zeros(0, np.int32)]).astype(np.int64)
-    n = np.concatenate([*got["n"], np.zeros(0, np.int32)]).astype(float)
-    grade = got["y"].to_numpy().astype(np.int64)
-    if not given:
-        strength = np.bincount(row, np.log1p(n) * strong[f], minlength=len(got))
-        cuts = np.quantile(strength[grade > 0], [k / GRADES for k in range(1, GRADES)])
-        grade = np.where(grade > 0, 1 + np.searchsorted(cuts, strength, "left"), 0)
-    weights, thresholds = fit_ordinal(row, f, np.log1p(n), grade, len(known), int(grade.max()) + 1)
-    return Model(known, weights, thresholds)
+    x = np.log1p(np.concatenate([*got["n"], np.zeros(0, np.int32)]).astype(float))
+    y_, part = got["y"].to_numpy().astype(np.int64), got["part"].to_numpy().astype(np.int64)
+    grade = y_ if given else _grades(known, chosen_[1:], part % 2, part >= 2, row, f, x)
+    own = np.isin(known, chosen_[0])
+    keep, number = own[f], np.cumsum(own) - 1
+    weights, thresholds = fit_ordinal(row[keep], number[f[keep]], x[keep], grade, len(chosen_[0]), int(grade.max()) + 1)
+    return Model(chosen_[0], weights, thresholds)
 
 
 def _score(shared):
@@ -196,8 +229,9 @@ def _score(shared):
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """One row a row of docs: doc_id, expected_severity, p_toxic (above grade 0), grade (the median), toxic (grade above 0).
 
-    A null or empty text has no features, so the severity of the thresholds alone; repeated rows score alike; other columns
-    are ignored; an empty table gives an empty result. The model that is broadcast has at most FEATURES weights.
+    A null or empty text has no features, so the severity of the thresholds alone; a very long text is scored whole;
+    repeated rows, and texts with the same features, score alike; other columns are ignored; an empty table gives an empty
+    result. The model that is broadcast has at most FEATURES weights.
     """
     spark = docs.sparkSession
     ship(spark)

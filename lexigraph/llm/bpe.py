@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
+from . import unicode16
 from .runtime import ship
 
 #: Words kept with their encodings, in each worker.
@@ -242,12 +243,15 @@ class Tokenizer:
 
     def _ready(self) -> None:
         self._split = regex.compile(self.pattern)
-        # Letters and digits that are newer than the Unicode data of the interpreter count as symbols.
+        # Beyond these, letters and digits are as Unicode 16 has them.
         self._beyond = regex.compile("[\u0530-\U0010ffff]")
         self._careful: regex.Pattern | None = None
         self._special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self._ids: dict[str, bytes] = {}
-        self._labels: dict[str, str] = {}
+        self._labels = np.full(1 + max([len(self.automaton.labels) - 1, *self.special.values()]), "", object)
+        self._labels[: len(self.automaton.labels)] = self.automaton.labels
+        for content, i in self.special.items():
+            self._labels[i] = content
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k not in ("_split", "_beyond", "_careful", "_special", "_ids", "_labels")}
@@ -263,49 +267,50 @@ class Tokenizer:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
             if self._beyond.search(text):
-                return self._carefully().findall(text.lower())
+                return self._carefully().findall(text.lower().translate(unicode16.LOWER))
         return self._split.findall(text.lower())
 
     def _carefully(self) -> regex.Pattern:
-        """The splitting pattern with letters and digits as the interpreter's Unicode data has them."""
+        """The splitting pattern with letters and numbers as in Unicode 16: those of 15.1 that the interpreter has, and the
+        additions of the table; what newer data of the regular expressions hold besides counts as a symbol."""
         if self._careful is None:
             kinds = regex.findall(r"[\p{L}\p{N}]", "".join(map(chr, [*range(0x530, 0xD800), *range(0xE000, 0x110000)])))
-            new = "".join(regex.escape(c) for c in kinds if unicodedata.category(c)[0] not in "LN")
-            narrow = self.pattern.replace(r"[^\s\p{L}\p{N}]", rf"[[^\s\p{{L}}\p{{N}}]||[{new}]]").replace(r"[\p{L}]", rf"[\p{{L}}--[{new}]]").replace(r"[\p{N}]", rf"[\p{{N}}--[{new}]]")
-            self._careful = regex.compile(narrow, regex.V1) if new else self._split
+            known = {c for a, b in (*unicode16.LETTERS, *unicode16.NUMBERS) for c in range(a, b + 1)}
+            new = "".join(regex.escape(c) for c in kinds if unicodedata.category(c)[0] not in "LN" and ord(c) not in known)
+            letters, numbers = unicode16.in_class(unicode16.LETTERS), unicode16.in_class(unicode16.NUMBERS)
+            less = f"--[{new}]" if new else ""
+            wide = {"L": rf"[[\p{{L}}{letters}]{less}]", "N": rf"[[\p{{N}}{numbers}]{less}]"}
+            other = rf"[[^\s]--{wide['L']}--{wide['N']}]"
+            narrow = self.pattern.replace(r"[^\s\p{L}\p{N}]", other).replace(r"[\p{L}]", wide["L"]).replace(r"[\p{N}]", wide["N"])
+            self._careful = regex.compile(narrow, regex.V1)
         return self._careful
 
-    def encoded(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
-        """For each text its ids (unsigned 32-bit, little-endian) and its labels joined by a space, which is the decoded text."""
+    def encoded(self, texts: list[str]) -> Iterator[bytes]:
+        """For each text its ids (unsigned 32-bit, little-endian)."""
         split = [self.words(t) for t in texts]
         new = list(set().union(*split) - self._ids.keys())
         if len(self._ids) + len(new) > CACHE_WORDS:
             self._ids.clear()
-            self._labels.clear()
             new = list(set().union(*split))
         plain = [w for w in new if w not in self.special]
         for w in new:
             if w in self.special:
-                self._ids[w], self._labels[w] = self.special[w].to_bytes(4, "little"), w
+                self._ids[w] = self.special[w].to_bytes(4, "little")
         if plain:
             ids, begin = self.automaton.encode([w.encode("utf-8", "surrogatepass") for w in plain])
-            raw, label = ids.astype("<u4").tobytes(), self.automaton.labels
-            names, begin = [label[i] for i in ids.tolist()], begin.tolist()
+            raw, begin = ids.astype("<u4").tobytes(), begin.tolist()
             for k, w in enumerate(plain):
-                a, b = begin[k], begin[k + 1]
-                self._ids[w] = raw[4 * a : 4 * b]
-                self._labels[w] = names[a] if b - a == 1 else " ".join(names[a:b])
+                self._ids[w] = raw[4 * begin[k] : 4 * begin[k + 1]]
         for words in split:
-            yield b"".join(map(self._ids.__getitem__, words)), " ".join(map(self._labels.__getitem__, words))
+            yield b"".join(map(self._ids.__getitem__, words))
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(next(self.encoded([text]))[0], "<u4").tolist()
+        return np.frombuffer(next(self.encoded([text])), "<u4").tolist()
 
-    def decode(self, ids: list[int]) -> str:
-        """The arc labels in order, joined by a space."""
-        by = {i: s for s, i in self.special.items()}
-        label = self.automaton.labels
-        return " ".join(by[i] if i in by else label[i] for i in ids)
+    def decode(self, ids: bytes | list[int]) -> str:
+        """The arc labels in order, joined by a space; ids as encoded gives them, or a list."""
+        at = np.frombuffer(ids, "<u4") if isinstance(ids, bytes) else np.array(ids, np.int64)
+        return " ".join(self._labels[at].tolist())
 
 
 @lru_cache(2)
@@ -319,7 +324,8 @@ def _run(shared, ids_digest: bool, text_digest: bool):
         for batch in batches:
             texts = tv.filled(batch.column("text"))
             for at, to in tv.slices(texts):
-                ids, labels = zip(*tokenizer.encoded(texts.slice(at, to - at).to_pylist()))
+                ids = list(tokenizer.encoded(texts.slice(at, to - at).to_pylist()))
+                labels = map(tokenizer.decode, ids)
                 n = pa.array([len(x) // 4 for x in ids], pa.int64())
                 first = pa.array([hashlib.sha256(x).hexdigest() for x in ids]) if ids_digest else pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in ids], pa.list_(pa.int32()))
                 second = pa.array([hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() if text_digest else x for x in labels], pa.string())
@@ -331,7 +337,7 @@ def _run(shared, ids_digest: bool, text_digest: bool):
 def encode_documents(docs: DataFrame, path: str, ids_digest: bool = False, text_digest: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids and decoded text of each row of docs (doc_id, text), or SHA-256 digests of those in hex.
 
-    A null text counts as empty: no tokens, an empty text. Rows aren't matched with one another, so repeated rows and
+    A null or empty text has no tokens and decodes to an empty one; a very long text is taken whole. Rows aren't matched with one another, so repeated rows and
     ids just give a row each; other columns are ignored; an empty table gives an empty result. path: a tokenizer file
     on the driver. What is broadcast is the compiled table, whose size the vocabulary bounds, not the data.
     """

@@ -46,7 +46,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeats(table(spark, sf_dir, "documents"))
+    return substring_dedup.repeats(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -112,6 +112,13 @@ class Words:
         self.count = np.bincount(self.row, minlength=n)
         self.first = np.concatenate([[0], np.cumsum(self.count)[:-1]])
 
+    def spans(self, first: np.ndarray, last: np.ndarray, salt: int) -> np.ndarray:
+        """Hash of the words from first to before last, for any spans (1 word or more), in constant time each."""
+        power, inverse = _power(len(self.hash) + 1)
+        sums = np.zeros(len(self.hash) + 1, U)
+        np.cumsum(mix(self.hash ^ U(salt)) * power[: len(self.hash)], out=sums[1:])
+        return mix((sums[last] - sums[first]) * inverse[first] + (last - first).astype(U))
+
     def prefixes(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the first k bytes, and index, of each word with more than k bytes."""
         at = np.flatnonzero(self.end - self.start > k)

@@ -191,12 +191,19 @@ def telling(token: Column) -> Column:
     return (token != "") & ~token.isin(*STOP_WORDS)
 
 
+def term_lists(text: Column | str, stemmed: bool = True) -> Column:
+    """The list of a text's tokens, stemmed a list at a time: each distinct word of an Arrow batch once."""
+    tokens = cleaned_tokens(text)
+    if stemmed:
+        ship(SparkSession.active())
+        return _stem_lists_udf(F.array_remove(tokens, ""))
+    return tokens
+
+
 def tokenize(tweets: DataFrame, stemmed: bool = True) -> DataFrame:
     """tweets (text and keys) -> a row a token: the keys, stem (T1: split, normalise, stem, then filter)."""
     keys = [c for c in tweets.columns if c != "text"]
-    tokens = tweets.select(*keys, F.explode(cleaned_tokens("text")).alias("stem"))
-    if stemmed:
-        tokens = tokens.where("stem <> ''").withColumn("stem", stem("stem"))
+    tokens = tweets.select(*keys, F.explode(term_lists("text", stemmed)).alias("stem"))
     return tokens.where(telling(F.col("stem")))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_text, distinct_terms, tokenize
+from ..functions.text import clean_text, distinct_terms, telling, term_lists, tokenize
 
 #: The corpus size the source system assumes.
 N_DOCS = 10_326_522
@@ -13,6 +13,14 @@ TFIDF_BOUNDS = (2.011063703278, 494.130787450104)
 TURANK_BOUNDS = (0.18503099884985902, 81.62800157711727)
 
 
+def term_counts(tweets: DataFrame, stemmed: bool = True) -> DataFrame:
+    """row, uid, tid, stem, n: each row's telling terms, from one pass over the texts and one exchange. row numbers the
+    rows of this run, so write the result before it is read twice."""
+    numbered = tweets.select(F.monotonically_increasing_id().alias("row"), "uid", "tid", "text")
+    rows = numbered.select("row", "uid", "tid", F.explode(term_lists("text", stemmed)).alias("stem"))
+    return rows.where(telling(F.col("stem"))).groupBy("row", "uid", "tid", "stem").agg(F.count("*").alias("n"))
+
+
 def term_frequency(tweets: DataFrame, stemmed: bool = True) -> DataFrame:
     """stem, uid, tid, tf; repeated (uid, tid) rows add up."""
     return tokenize(tweets.select("uid", "tid", "text"), stemmed).groupBy("stem", "uid", "tid").agg(F.count("*").alias("tf"))
@@ -23,6 +31,11 @@ def document_frequency(tweets: DataFrame, stemmed: bool = True) -> DataFrame:
     return tweets.select(F.explode(distinct_terms("text", stemmed)).alias("stem")).groupBy("stem").agg(F.count("*").alias("df"))
 
 
+def frequencies_of(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(stem, uid, tid, tf) and (stem, df) from term_counts."""
+    return counts.groupBy("stem", "uid", "tid").agg(F.sum("n").alias("tf")), counts.groupBy("stem").agg(F.count("*").alias("df"))
+
+
 def idf(frequencies: DataFrame, n_docs: int | Column) -> DataFrame:
     """stem, idf = ln(n / df)."""
     n = n_docs if isinstance(n_docs, Column) else F.lit(n_docs)

@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 
 
 def sample_distinct(lines: DataFrame, total: int, sample: int, seed: int = 0) -> DataFrame:
-    """Distinct rows of a sample that keeps one in total // sample (Q5); seeded, so it can be repeated."""
+    """Distinct rows, of which one in total // sample is kept (Q5), by a hash of the row and the seed: whatever the
+    partitions and retries, the same rows come back, and repeated ones stay or go together."""
     if sample < 1 or total < sample:
         raise ValueError("sample must be from 1 to total")
-    return lines.sample(1 / (total // sample), seed).distinct()
+    if total // sample == 1:
+        return lines.distinct()
+    line = F.concat_ws("\t", *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in lines.columns), F.lit(str(seed)))
+    kept = F.conv(F.substr(F.md5(line), F.lit(1), F.lit(8)), 16, 10).cast("long") % (total // sample) == 0
+    return lines.where(kept).distinct()
 
 
 def follower_counts(edges: DataFrame) -> DataFrame:

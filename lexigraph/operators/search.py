@@ -35,5 +35,5 @@ def search(index: DataFrame, terms: list[str], limit: int | None = None, collaps
 
 def with_text(hits: DataFrame, store: DataFrame, missing: str = "Error") -> DataFrame:
     """tid, score, text; a tid without text has `missing`, one with several the least."""
-    texts = store.join(hits.select("tid").distinct(), "tid", "left_semi").groupBy("tid").agg(F.min("text").alias("text"))
-    return hits.join(texts, "tid", "left").select("tid", "score", F.coalesce("text", F.lit(missing)).alias("text")).orderBy(F.desc("score"), "tid")
+    texts = hits.join(store.select("tid", "text"), "tid", "left").groupBy("tid", "score").agg(F.min("text").alias("text"))
+    return texts.select("tid", "score", F.coalesce("text", F.lit(missing)).alias("text")).orderBy(F.desc("score"), "tid")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph, ir, sampling, search
 from ..sources import logs, stores
-from ..storage import staged
+from ..storage import small, staged
 
 
 def sample_graph(spark: SparkSession, edges_path: str, names_path: str, out: str, total: int, sample: int, seed: int = 0) -> None:
@@ -42,13 +42,14 @@ def rank_tweets(spark: SparkSession, tweets_path: str, retweets_path: str, edges
 
 
 def score_terms(tweets: DataFrame, ranks: DataFrame | None = None, n_docs: int | None = None, tfidf_bounds: tuple[float, float] | None = None, rank_bounds: tuple[float, float] = ir.TURANK_BOUNDS, stemmed: bool = True) -> DataFrame:
-    """stem, tid, score from tweets (uid, tid, text) in one plan (entry A): frequencies, weights, scaling, ranks.
+    """stem, tid, score from tweets (uid, tid, text), read and stemmed once (entry A): frequencies, weights, scaling, ranks.
 
     n_docs: the corpus size, counted where None. tfidf_bounds: None leaves weights unscaled. Without ranks the score is
     the weight alone.
     """
     n = tweets.count() if n_docs is None else n_docs
-    weights = ir.tfidf(ir.term_frequency(tweets, stemmed), ir.idf(ir.document_frequency(tweets, stemmed), n))
+    tf, df = ir.frequencies_of(staged(ir.term_counts(tweets, stemmed), "terms"))
+    weights = ir.tfidf(tf, ir.idf(df, n))
     if tfidf_bounds:
         weights = ir.normalise_tfidf(weights, tfidf_bounds)
     if ranks is None:
@@ -65,7 +66,18 @@ def write_search_tables(spark: SparkSession, combined: DataFrame, tweets: DataFr
 
 
 def query(spark: SparkSession, tables: str, words: str | list[str], limit: int | None = None, buckets: int = stores.BUCKETS) -> DataFrame:
-    """tid, score, text of a search over tables written by write_search_tables (entry C): only the terms' buckets are read."""
+    """tid, score, text of a search over tables written by write_search_tables (entry C): only the terms' buckets are read,
+    and of the texts, those of the hits.
+
+    With a limit the hits' buckets are named to the scan; without one the hits, written once, are joined by bucket, so
+    that the scan leaves out partitions when it runs.
+    """
     terms = search.parse_query(words)
-    hits = search.search(stores.lookup(spark, f"{tables}/index", "stem", terms, buckets), terms, limit)
-    return search.with_text(hits, spark.read.parquet(f"{tables}/texts").drop("bucket"))
+    hits = staged(search.search(stores.lookup(spark, f"{tables}/index", "stem", terms, buckets), terms, limit), "hits")
+    if limit is not None:
+        texts = stores.lookup(spark, f"{tables}/texts", "tid", [r.tid for r in hits.select("tid").collect()], buckets)
+    else:
+        own = hits.select(F.col("tid").alias("t"), stores.bucket(F.col("tid"), buckets).alias("b")).distinct()
+        texts = spark.read.parquet(f"{tables}/texts")
+        texts = texts.join(small(own), (texts["bucket"] == F.col("b")) & (texts["tid"] == F.col("t"))).select("tid", "text")
+    return search.with_text(hits, texts)

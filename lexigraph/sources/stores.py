@@ -19,9 +19,10 @@ def bucket(key: Column, n: int) -> Column:
 
 
 def write_bucketed(df: DataFrame, key: str, path: str, buckets: int = BUCKETS) -> None:
-    """df by bucket of key, sorted by key within a file, so row groups' bounds prune further. One exchange."""
+    """df by bucket of key, sorted by key within a file, so row groups' bounds prune further. One exchange; adaptive
+    execution joins small buckets in a task and splits a large one, such as a frequent stem's, among several."""
     b = df.withColumn("bucket", bucket(F.col(key), buckets))
-    b.repartition("bucket").sortWithinPartitions("bucket", key).write.mode("overwrite").partitionBy("bucket").parquet(path)
+    b.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", key).write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def lookup(spark: SparkSession, path: str, key: str, values: list, buckets: int = BUCKETS) -> DataFrame:
@@ -59,7 +60,7 @@ def text_lines(store: DataFrame) -> DataFrame:
 
 def write_parts(lines: DataFrame, path: str) -> None:
     """part, line as text, a folder a part."""
-    lines.repartition("part").select("part", F.col("line").alias("value")).write.mode("overwrite").partitionBy("part").text(path)
+    lines.hint("rebalance", F.col("part")).select("part", F.col("line").alias("value")).write.mode("overwrite").partitionBy("part").text(path)
 
 
 def read_part(spark: SparkSession, path: str, part: str, key: str) -> DataFrame:

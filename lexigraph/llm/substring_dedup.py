@@ -99,9 +99,9 @@ def repeats(docs: DataFrame, least_words: int = LEAST_WORDS, least_run: int = LE
     stays too. Of repeated rows (one doc_id, one text) units have equal rank and all stay. Null, empty and wordless texts
     have no units; a very long text is taken whole; other columns are ignored; an empty table gives an empty result.
     """
-    u = staged(units(docs, least_words), "units")
+    u = units(docs, least_words)  # cut twice: that costs less than a table of them, most of which are no repeats
     firsts = u.groupBy("d1", "d2").agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    j = staged(u.join(firsts, ["d1", "d2"]).distinct(), "repeated")
+    j = staged(u.join(firsts, ["d1", "d2"]), "repeated")
     earliest = F.col("doc_id").eqNullSafe(F.col("first_doc_id"))
     lead = j.where(earliest).groupBy("d1", "d2").agg(F.min(F.struct("text_hash", "start", "stop")).alias("lead"))
     other = ~earliest | (F.col("text_hash") != F.col("lead.text_hash")) | (F.col("start") >= F.col("lead.stop"))

@@ -218,7 +218,7 @@ def joined(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     bench = staged(items(benchmark).withColumn("k", F.struct(F.xxhash64("i", "t").alias("a"), F.xxhash64("t", "i").alias("b"))), "items")
     seeds = staged(bench.select("k", "t").mapInArrow(_seeds_of_items, "mask string, seed long, k struct<a:long,b:long>, at long"), "seeds")
     cell = F.shiftrightunsigned("seed", 64 - FILTER_BITS)
-    words = seeds.groupBy(F.shiftright(cell, 6).alias("w")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), cell.bitwiseAND(F.lit(63)).cast("int"))).alias("b"))
+    words = seeds.groupBy(F.shiftright(cell, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), cell.bitwiseAND(F.lit(63)).cast("int"))).alias("b"))
     bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     at = words.toPandas()  # of a size that FILTER_BITS bounds
     bits[at["w"].to_numpy(np.int64)] = at["b"].to_numpy(np.int64)

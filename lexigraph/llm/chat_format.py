@@ -149,8 +149,9 @@ def format_chats(rows: DataFrame) -> DataFrame:
     (spans of formatted, in characters), attachments (n, kind, ref, tokens).
 
     Rows are ordered by turn, then role and content, so ties and repeated rows have one order; each is a turn of its own. A
-    null role or text is an empty one; rows with a null conv_id are one conversation; other columns are ignored; an empty
-    table gives an empty result. A conversation is one value, so it must fit a task; many rows spread by conversation.
+    null or empty role or text is an empty one; a row without a conv_id is a conversation of its own; a very long text is
+    taken whole; other columns are ignored; an empty table gives an empty result. A conversation is one value, so it must
+    fit a task; many rows spread by conversation.
     """
     ship(rows.sparkSession)
     if "parts" in rows.columns:
@@ -158,29 +159,37 @@ def format_chats(rows: DataFrame) -> DataFrame:
     else:
         none = {k: F.lit(None).cast("string" if k == "ref" else "int").alias(k) for k in ("ref", "width", "height", "ms", "pages")}
         parts = F.array(F.struct(F.lit("text").alias("type"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *none.values()))
-    each = rows.select("conv_id", F.struct(F.col("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), parts.alias("parts")).alias("t"))
-    turns = each.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("alone")
+    each = rows.select("conv_id", alone, F.struct(F.col("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), parts.alias("parts")).alias("t"))
+    turns = each.groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list("t")).alias("turns")).drop("alone")
     kind = dict(rows.dtypes)["conv_id"]
     return turns.mapInArrow(_run, f"conv_id {kind}, formatted string, loss array<struct<start:int,stop:int>>, attachments array<struct<n:int,kind:string,ref:string,tokens:long>>")
 
 
+READ = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_attachments long, attachment_tokens long"
+
+
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        cols: list[list] = [[] for _ in range(6)]
-        for text, loss in zip(batch.column("formatted").to_pylist(), batch.column("loss").to_pylist()):
-            turns = parse(text)
+        cols: list[list] = [[] for _ in range(7)]
+        for text, loss, attached in zip(*(batch.column(c).to_pylist() for c in ("formatted", "loss", "attachments"))):
+            turns = parse(text, [Attachment(**a) for a in attached])
+            placed = [(p.type, p.ref) for _, parts in turns for p in parts if p.type != "text"]
+            if placed != [(a["kind"], a["ref"]) for a in attached]:
+                raise ValueError("placeholders and attachments differ")
             said = "".join(f"{role}\n{''.join(p.text or '' for p in parts)}\n" for role, parts in turns)
             trained = "".join(unescape(text[s["start"] : s["stop"]]) for s in loss)
-            for c, v in zip(cols, (len(turns), hashlib.sha256(said.encode("utf-8", "surrogatepass")).hexdigest(), len(trained), hashlib.sha256(trained.encode("utf-8", "surrogatepass")).hexdigest(), len(text))):
+            for c, v in zip(cols, (len(turns), hashlib.sha256(said.encode("utf-8", "surrogatepass")).hexdigest(), len(trained), hashlib.sha256(trained.encode("utf-8", "surrogatepass")).hexdigest(), len(text), len(placed), sum(a["tokens"] for a in attached))):
                 c.append(v)
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("conv_id"), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("conv_id"), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["conv_id", *(x.split()[0] for x in READ.split(", "))])
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Counts and digests of each formatted conversation, read back from its text and loss spans; text parts only."""
+    """Counts and digests of each formatted conversation, read back from its text, loss spans and attachments, whose
+    placeholders must be in the text, in order. A turn's text is that of its text parts."""
     kind = dict(formatted.dtypes)["conv_id"]
-    return formatted.select("conv_id", "formatted", "loss").mapInArrow(_digest, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.select("conv_id", "formatted", "loss", "attachments").mapInArrow(_digest, f"conv_id {kind}, {READ}")
 
 
 #: formatted_chars as an expression over the turns; the digests over the raw texts, which reading back must give again.
@@ -195,6 +204,7 @@ WITH t AS (
 )
 SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(n)::BIGINT AS formatted_chars
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(n)::BIGINT AS formatted_chars,
+  0::BIGINT AS n_attachments, 0::BIGINT AS attachment_tokens
 FROM e GROUP BY conv_id
 """

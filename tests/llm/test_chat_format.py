@@ -35,6 +35,13 @@ def test_operator(spark):
     parts = spark.createDataFrame([(1, 0, "user", [("image", None, "a", 14, 14, None, None)])], f"conv_id long, turn long, role string, parts {cf.PARTS}")
     r = cf.format_chats(parts).first()
     assert r.formatted == "<s>user\n<|image:0|></s>" and r.attachments[0].tokens == 1
+    back = cf.read_back(cf.format_chats(parts)).first()
+    assert (back.n_turns, back.n_attachments, back.attachment_tokens) == (1, 1, 1)
+
+
+def test_rows_without_a_conversation_stand_alone(spark):
+    rows = spark.createDataFrame([(None, 0, "user", f"t{i}") for i in range(20)], "conv_id long, turn long, role string, text string")
+    assert sorted(r.formatted for r in cf.format_chats(rows).collect()) == sorted(f"<s>user\nt{i}</s>" for i in range(20))
 
 
 def test_query(spark, sf):

@@ -32,3 +32,13 @@ def test_stages_keep_columns(spark, sf):
         for name, stage in corpus_pipeline.STAGES[:-1]:
             assert stage(spark, docs, sf).columns == docs.columns, name
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "near dedup", "decontamination", "tokens"]
+
+
+def test_run_on_odd_and_empty_tables(spark, sf, tmp_path):
+    """The whole pipeline over nulls, repeated rows, ties and clashing names, and over no rows."""
+    for name, docs in (("odd", odd_docs(spark)), ("none", no_docs(spark))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.read.parquet(f"{sf}/benchmark.parquet").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        rows = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert sorted(r.doc_id for r in rows) == ([4, 5] if name == "odd" else [])
+        assert all(r.n_tokens == len(r.ids) > 0 for r in rows)

@@ -26,7 +26,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The result of the last stage over the table documents in sf_dir."""
+    """The result of the last stage over the table documents in sf_dir: doc_id, n_tokens, ids, decoded_sha256.
+
+    Null, empty and short texts fail the rules of the first stage; very long ones are taken whole; of copies, repeated rows
+    and ties the row of the least doc_id stays (see near_dedup.stage); other columns go along until the last stage; an
+    empty table gives an empty result. The result reads the last written table: call clear_staged once it is written.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))

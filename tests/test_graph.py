@@ -2,6 +2,7 @@ import math
 
 import pytest
 
+from lexigraph.plans import catalogue
 from lexigraph.operators import graph, sampling
 
 
@@ -56,3 +57,25 @@ def test_sample(spark):
         sampling.sample_distinct(edges, 10, 0)
     with pytest.raises(ValueError):
         sampling.sample_distinct(edges, 10, 11)
+
+
+def test_hubs_are_salted(spark, sf, monkeypatch):
+    """With edges of a source spread by a salt the ranks are the same."""
+    edges, rt = catalogue.edges(spark, sf), graph.retweet_edges(catalogue.retweets(spark, sf))
+    runs = {"pagerank": lambda: graph.pagerank(edges, max_iter=2, tol=None), "hits": lambda: graph.hits(rt, max_iter=2, tol=None)}
+    plain = {k: sorted(tuple(round(x, 9) for x in r) for r in f().collect()) for k, f in runs.items()}
+    monkeypatch.setattr(graph, "HUB_EDGES", 7)
+    kept, hubs = graph._kept(graph.weighted(graph.follow_edges(edges)))
+    assert hubs.count() > 0 and kept.select("salt").distinct().count() > 1
+    assert {k: sorted(tuple(round(x, 9) for x in r) for r in f().collect()) for k, f in runs.items()} == plain
+
+
+def test_no_silent_end(spark, sf):
+    with pytest.raises(RuntimeError, match="after 2 rounds"):
+        graph.pagerank(catalogue.edges(spark, sf), max_iter=2)
+
+
+def test_samples_don_t_depend_on_partitions(spark):
+    edges = spark.range(2000).selectExpr("id % 500 AS user_id", "id % 7 AS follower_id")
+    one, two = (sorted(map(tuple, sampling.sample_distinct(e, 10, 1, seed=3).collect())) for e in (edges, edges.repartition(3).unionByName(edges)))
+    assert one == two and len(one) == len(set(one)) and 0 < len(one) < 500

@@ -73,6 +73,7 @@ def test_stored_search(spark, tweets, tmp_path):
     out = str(tmp_path)
     pipelines.write_search_tables(spark, pipelines.score_terms(tweets), tweets, out, buckets=7)
     assert [(r.tid, r.text) for r in pipelines.query(spark, out, "cats:running", buckets=7).collect()] == [(10, "cats running")]
+    assert [(r.tid, r.text) for r in pipelines.query(spark, out, "cats:running", limit=1, buckets=7).collect()] == [(10, "cats running")]
     assert stores.lookup(spark, f"{out}/texts", "tid", [11], 7).first().text == "cat ran"
     assert stores.lookup(spark, f"{out}/texts", "tid", [], 7).count() == 0
     assert {r.tid for r in stores.read_term(spark, f"{out}/terms", "run").collect()} == {10, 12}

@@ -22,6 +22,7 @@ from . import textvec as tv
 from .runtime import fresh, ship, small, staged, table
 
 #: For items of 16 words or more: of 13 or more matches with at most one mismatch in five, some window fits one of these.
+#: Enumerated for 13 to 25 matches; an overlap of more can be cut in two of 13 or more, one of which is within the rule.
 MASKS = ("111011011", "11010100111", "1111111", "1111001101", "11110101001", "11110010011")
 #: For items of 10 to 15 words: the same for matches of four fifths of the item's words.
 MEDIUM = ("1111011", "110010111", "110101011", "11111001", "11001111", "111111")

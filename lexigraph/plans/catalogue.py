@@ -442,11 +442,17 @@ def adjacency(spark: SparkSession, d: str) -> DataFrame:
     return graph.adjacency(graph.follow_edges(edges(spark, d))).select("src", F.array_join(F.transform("targets", lambda x: x.cast("string")), ",").alias("targets"))
 
 
-@registered("SELECT tid, author_id, retweeter FROM retweets WHERE retweeter IN (SELECT user_id FROM names WHERE user_id % 2 = 0)")
+@registered("SELECT tid, author_id, retweeter FROM retweets WHERE retweeter IN (SELECT user_id FROM names)")
 def known_user_semi(spark: SparkSession, d: str) -> DataFrame:
     return crawl.known_only(retweets(spark, d), names(spark, d), "retweeter").select("tid", "author_id", "retweeter")
 
 
+@registered("SELECT user_id, follower_id FROM edges WHERE follower_id IN (SELECT user_id FROM names)")
+def known_follower_semi(spark: SparkSession, d: str) -> DataFrame:
+    """Follows by users with a name; some have none."""
+    return crawl.known_only(edges(spark, d), names(spark, d), "follower_id").select("user_id", "follower_id")
+
+
 @registered("SELECT user_id FROM names WHERE user_id NOT IN (SELECT user_id FROM edges)")
 def resume_anti(spark: SparkSession, d: str) -> DataFrame:
     """Who is left to crawl, by a crawl log that is written in two parts and read again."""

@@ -12,7 +12,10 @@ component than the pivot are paired with it; then components are formed anew, an
 group of copies takes a round or two however large it is. A bucket that keeps more than CROWD members in several
 components (texts that share boilerplate, but are unlike) is banded again, by rare shingles: sets with a similarity of t
 share a shingle among the n - ceil(t n) + 1 rarest of each, in any order, so no link is lost, and boilerplate is never
-among the rarest. A pivot with many members is salted, and no pair within a component is ever made.
+among the rarest. Sets that such buckets connect are a family. Where a family's pairs are not many more than those in its
+buckets (copies with edits, mostly short of the threshold), it isn't paired: its hashed sets are cut into sides, each two
+sides are one task, and that counts all overlaps at once, so a set is sent once a tile instead of a text once a pair; sides
+of one component are left. A pivot with many members is salted, and no pair within a component is ever made.
 """
 
 from __future__ import annotations
@@ -21,7 +24,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
@@ -40,6 +44,10 @@ SALT_ROWS = 2000
 RANKS = 1 << 62
 #: Counters that estimate how many sets hold a shingle; their number doesn't depend on the data.
 CELL_BITS = 18
+#: A family is compared in tiles where its pairs are at most so many times those in its buckets.
+DENSE = 8
+#: Shingles of a side of a tile, with LEAD more for each set.
+SIDE, LEAD = 1 << 20, 512
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -194,46 +202,150 @@ def verified(pairs: DataFrame, at: DataFrame, docs: DataFrame, shingle: int, per
     return rows.mapInArrow(_verify(shingle, percent), "a long, b long")
 
 
-def _cells(shingle: int):
+def _sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << CELL_BITS, np.int64)
         for batch in batches:
             texts = tv.filled(batch.column("text"))
             for at, to in tv.slices(texts):
-                h, _ = tv.distinct(*tv.Words(texts.slice(at, to - at)).shingles(shingle))
-                total += np.bincount((h >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "n"])
+                h, row = tv.distinct(*tv.Words(texts.slice(at, to - at)).shingles(shingle))
+                ends = np.searchsorted(row, np.arange(to - at + 1))
+                own = [h[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(at, to - at), pa.array(np.diff(ends)), pa.array(own, pa.binary())], ["node", "n", "h"])
 
     return run
 
 
-def _rarest(shared, shingle: int, percent: int):
+def _hashes(sets: pa.Array, n: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of sets as bytes, and the set of each."""
+    return np.frombuffer(b"".join(sets.to_pylist()), np.uint64), np.repeat(np.arange(len(n)), n.to_numpy())
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(1 << CELL_BITS, np.int64)
+    for batch in batches:
+        h, _ = _hashes(batch.column("h"), batch.column("n"))
+        total += np.bincount((h >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(total))
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "n"])
+
+
+def _rarest(shared, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
         for batch in batches:
-            texts = tv.filled(batch.column("text"))
-            for at, to in tv.slices(texts):
-                h, row = tv.distinct(*tv.Words(texts.slice(at, to - at)).shingles(shingle))
-                order = np.lexsort((h, counts[(h >> np.uint64(64 - CELL_BITS)).astype(np.int64)], row))
-                h, row = h[order], row[order]
-                size = np.bincount(row, minlength=to - at)
-                place = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
-                keep = place < (size - -(-percent * size // 100) + 1)[row]
-                yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(at + row[keep])), pa.array(size[row[keep]]), pa.array(h[keep].view(np.int64))], ["node", "n", "key"])
+            h, row = _hashes(batch.column("h"), batch.column("n"))
+            order = np.lexsort((h, counts[(h >> np.uint64(64 - CELL_BITS)).astype(np.int64)], row))
+            h, row = h[order], row[order]
+            size = batch.column("n").to_numpy()
+            place = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
+            keep = place < (size - -(-percent * size // 100) + 1)[row]
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(row[keep])), pa.array(size[row[keep]]), pa.array(h[keep].view(np.int64))], ["node", "n", "key"])
 
     return run
 
 
-def rare_buckets(nodes: DataFrame, at: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """key, node, n: each set under its rarest shingles, as many as two sets with the similarity must share one of."""
-    texts = staged(_texts(nodes.join(at, "node"), docs), "crowd")
-    cells = texts.mapInArrow(_cells(shingle), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+def rare_buckets(nodes: DataFrame, at: DataFrame, docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """key, node, n: each set under its rarest shingles, as many as two sets with the similarity must share one of; and the
+    sets (node, n, h: their hashes), staged."""
+    texts = _texts(nodes.join(at, "node"), docs)
+    sets = staged(texts.mapInArrow(_sets(shingle), "node long, n long, h binary").dropDuplicates(["node"]), "sets")
+    cells = sets.mapInArrow(_cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     counts = np.zeros(1 << CELL_BITS, np.int64)
     for r in cells.collect():  # at most 2 to the CELL_BITS rows
         counts[r.cell] = r.n
     shared = nodes.sparkSession.sparkContext.broadcast(counts)
-    return texts.mapInArrow(_rarest(shared, shingle, percent), "node long, n long, key long").distinct()
+    return staged(sets.mapInArrow(_rarest(shared, percent), "node long, n long, key long"), "rare"), sets
+
+
+def overlaps(ha: np.ndarray, ra: np.ndarray, hb: np.ndarray, rb: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    """How many hashes each of shape[0] sets (ha, of sets ra) shares with each of shape[1] sets (hb, of rb): of hashes in many
+    sets by products of 0-1 matrices, of others pair by pair."""
+    known, of = np.unique(np.concatenate([ha, hb]), return_inverse=True)
+    ta, tb = of[: len(ha)], of[len(ha) :]
+    fa, fb = (np.bincount(t, minlength=len(known)) for t in (ta, tb))
+    often = fa * fb * 200 > shape[0] * shape[1]
+    out, place = np.zeros(shape), np.where(often, np.cumsum(often) - 1, -1)
+    for at in range(0, many := int(often.sum()), 4096):
+        parts, width = [], min(4096, many - at)
+        for t, r, n in ((place[ta], ra, shape[0]), (place[tb], rb, shape[1])):
+            k = (t >= at) & (t < at + width)
+            parts.append(np.zeros((n, width), np.float32))
+            parts[-1][r[k], t[k] - at] = 1
+        out += parts[0] @ parts[1].T
+    k = np.flatnonzero(~often[ta] & (fb[ta] > 0))
+    ta, ra, rb, first = ta[k], ra[k], rb[np.argsort(tb, kind="stable")], np.cumsum(fb) - fb
+    ends = np.cumsum(fb[ta])
+    for at in range(0, int(ends[-1]) if len(k) else 0, 1 << 22):
+        cut = slice(*np.searchsorted(ends, [at, at + (1 << 22)], "right"))
+        n = fb[ta[cut]]
+        b = np.repeat(first[ta[cut]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        out += np.bincount(np.repeat(ra[cut], n) * shape[1] + rb[b], minlength=out.size).reshape(shape)
+    return out
+
+
+def _tile(percent: int):
+    def links(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        all_ = pa.Table.from_batches(rows).combine_chunks()
+        sides = []
+        for role in (0, 1):
+            t = all_.filter(pc.equal(all_["role"], role))
+            sides.append((*_hashes(t["h"], t["n"]), t["n"].to_numpy(), t["label"].to_numpy()))
+        if not len(sides[1][2]):
+            sides[1] = sides[0]
+        (ha, ra, na, la), (hb, rb, nb, lb) = sides
+        both = overlaps(ha, ra, hb, rb, (len(na), len(nb)))
+        (la, ca), (lb, cb) = (np.unique(x, return_inverse=True) for x in (la, lb))
+        i, j = np.nonzero((100 * both >= percent * (na[:, None] + nb[None, :] - both)) & (la[ca][:, None] != lb[cb][None, :]))
+        once = np.unique(ca[i] * len(lb) + cb[j])
+        return pa.RecordBatch.from_arrays([pa.array(la[once // len(lb)]), pa.array(lb[once % len(lb)])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, held = None, []
+        for batch in batches:
+            of = list(zip(*(batch.column(c).to_pylist() for c in ("family", "i", "j"))))
+            cuts = [0, *(k for k in range(1, len(of)) if of[k] != of[k - 1]), len(of)]
+            for at, to in zip(cuts[:-1], cuts[1:]):
+                if at < to:
+                    if held and of[at] != tile:
+                        yield links(held)
+                        held = []
+                    tile = of[at]
+                    held.append(batch.slice(at, to - at))
+        if held:
+            yield links(held)
+
+    return run
+
+
+def families(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The dense families of the buckets keyed (key, node, n): node, n, family; and the buckets of the other ones."""
+    buckets = staged(keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("first")).where("size > 1"), "buckets")
+    labels = components(keyed.join(buckets, "key").select(F.col("node").alias("a"), F.col("first").alias("b")))
+    family = F.coalesce("label", "node").alias("family")
+    nodes = staged(keyed.select("node", "n").distinct().join(labels, "node", "left").select("node", "n", family), "families")
+    pairs = buckets.withColumnRenamed("first", "node").join(labels, "node", "left").select(family, (F.col("size") * (F.col("size") - 1.0)).alias("pairs"))
+    pairs = pairs.groupBy("family").agg(F.sum("pairs").alias("pairs"))
+    sizes = nodes.groupBy("family").agg(F.count("*").cast("double").alias("size"))
+    dense = staged(sizes.join(pairs, "family").where(F.col("size") * (F.col("size") - 1) <= DENSE * F.col("pairs")).select("family"), "dense")
+    inside = nodes.join(dense, "family")
+    return inside, keyed.join(inside.select("node"), "node", "left_anti")
+
+
+def tiled(inside: DataFrame, sets: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the components (label: node, label) that families (inside: node, n, family) hold, one each two
+    components and tile."""
+    order = Window.partitionBy("family").orderBy("label", "node")
+    side = F.floor(F.sum(F.col("n") + LEAD).over(order) / SIDE)
+    placed = staged(inside.join(label, "node").select("node", "family", "label", side.alias("side")), "sides")
+    sides = placed.groupBy("family", "side").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    one = sides.select("family", F.col("side").alias("i"), F.col("lo").alias("lo_i"), F.col("hi").alias("hi_i"))
+    two = sides.select("family", F.col("side").alias("j"), F.col("lo").alias("lo_j"), F.col("hi").alias("hi_j"))
+    tiles = one.join(two, "family").where((F.col("i") <= F.col("j")) & (F.least("lo_i", "lo_j") < F.greatest("hi_i", "hi_j")))
+    ends = F.when(F.col("i") == F.col("j"), F.array(F.struct(F.col("i").alias("side"), F.lit(0).alias("role"))))
+    ends = ends.otherwise(F.array(F.struct(F.col("i").alias("side"), F.lit(0).alias("role")), F.struct(F.col("j").alias("side"), F.lit(1).alias("role"))))
+    tiles = staged(tiles.select("family", "i", "j", F.explode(ends).alias("o")).select("family", "i", "j", "o.side", "o.role"), "tiles")
+    rows = placed.join(tiles, ["family", "side"]).join(sets, "node").select("family", "i", "j", "role", "label", "n", "h")
+    return rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(_tile(percent), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -305,11 +417,18 @@ def grouped(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, Dat
         if largest is None:
             break
         if again and pivots > PIVOTS * GROWTH and largest > CROWD:
-            # The other buckets stay; in this round all their members are pivots, and tested pairs aren't made again.
+            # The other buckets stay, as do those of families that aren't dense; in this round all members of the small ones
+            # are pivots, and tested pairs aren't made again.
             again = False
-            crowd = staged(live.where(F.col("size") > CROWD).select("node").distinct(), "crowd")
+            crowd = staged(live.where(F.col("size") > CROWD).select("node", "label").distinct(), "crowd")
             rest = live.where(F.col("size") <= CROWD).select("key", "node", "n")
-            members = sized(rest.unionByName(rare_buckets(crowd, at, docs, shingle, percent)))
+            keyed, sets = rare_buckets(crowd.select("node"), at, docs, shingle, percent)
+            inside, other = families(keyed)
+            found = staged(tiled(inside, sets, crowd, percent), "links")
+            if not found.isEmpty():
+                edges = found if edges is None else edges.unionByName(found)
+                labels = components(edges)
+            members = sized(rest.unionByName(other.select(*rest.columns)))
             continue
         pairs = star_pairs(live, pivots, percent)
         if tested is not None:

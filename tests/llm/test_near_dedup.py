@@ -58,6 +58,34 @@ def test_unlike_texts_with_shared_boilerplate(spark, monkeypatch):
     assert calls
 
 
+@pytest.mark.parametrize("side", [1 << 20, 9000])
+def test_copies_short_of_the_threshold_are_compared_in_tiles(spark, monkeypatch, side):
+    """Copies with so many edits that most lie outside their group: they are paired in two rounds only, and no link is lost."""
+    monkeypatch.setattr(nd, "CROWD", 8)
+    monkeypatch.setattr(nd, "SIDE", side, raising=False)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    docs = []
+    for i in range(200):
+        w = list(base)
+        for k in rng.sample(range(150), rng.randrange(2) if i % 2 else rng.randrange(3, 9)):
+            w[k] = f"e{rng.randrange(10**6)}"
+        docs.append((i, " ".join(w)))
+    pairs = []
+    monkeypatch.setattr(nd, "likely", lambda p, *a, f=nd.likely: pairs.append(p.count()) or f(p, *a))
+    held(spark, docs)
+    assert len(pairs) <= 2, pairs
+
+
+def test_overlaps_of_sets():
+    rng = np.random.default_rng(9)
+    for shape, most in (((40, 70), 60), ((300, 200), 40000), ((1, 50), 900)):
+        groups = [[np.unique(rng.integers(0, most if i % 2 else 90, rng.integers(1, 200))).astype(np.uint64) for i in range(n)] for n in shape]
+        flat = [(np.concatenate(g), np.repeat(np.arange(len(g)), [len(x) for x in g])) for g in groups]
+        want = [[len(np.intersect1d(a, b)) for b in groups[1]] for a in groups[0]]
+        assert (nd.overlaps(*flat[0], *flat[1], shape) == want).all()
+
+
 def test_odd_rows(spark):
     out = nd.near_duplicates(odd_docs(spark)).collect()
     assert len(out) == 13

@@ -28,6 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import bytes_of
 from . import textvec as tv
 from .runtime import fresh, ship, small, staged
 
@@ -46,6 +47,8 @@ RANKS = 1 << 62
 CELL_BITS = 18
 #: A family is compared in tiles where its pairs are at most so many times those in its buckets.
 DENSE = 8
+#: Edges of at most this many bytes on disk (a million or so) are connected by one task.
+EDGE_BYTES = 8 << 20
 #: Shingles of a side of a tile, with LEAD more for each set.
 SIDE, LEAD = 1 << 20, 512
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -348,10 +351,30 @@ def tiled(inside: DataFrame, sets: DataFrame, label: DataFrame, percent: int) ->
     return rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(_tile(percent), "a long, b long")
 
 
+def _connected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches]
+    if not parts:
+        return
+    nodes, of = np.unique(np.concatenate([x for p in zip(*parts) for x in p]), return_inverse=True)
+    u, v = np.split(of, 2)
+    label = np.arange(len(nodes))
+    while len(u):  # an edge's greater root goes to the other, then all to their roots
+        np.minimum.at(label, np.maximum(u, v), np.minimum(u, v))
+        while (label[label] != label).any():
+            label = label[label]
+        u, v = label[u], label[v]
+        apart = u != v
+        u, v = u[apart], v[apart]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], ["node", "label"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the least node of each connected component, by alternating large and small stars, written each round
-    until all are stars: no node but a centre has two neighbours, and no centre has one below it."""
+    """(node, label): the least node of each connected component. Edges of at most EDGE_BYTES on disk go to one task; more,
+    by alternating large and small stars, written each round until all are stars: no node but a centre has two neighbours,
+    and no centre has one below it."""
     e = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    if bytes_of(e) <= EDGE_BYTES:
+        return staged(e.coalesce(1).mapInArrow(_connected, "node long, label long"), "labels")
 
     def stars() -> bool:
         ends = e.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("below")), F.struct(F.col("v").alias("x"), F.lit(0).alias("below")))).alias("o"))

@@ -77,6 +77,27 @@ def test_copies_short_of_the_threshold_are_compared_in_tiles(spark, monkeypatch,
     assert len(pairs) <= 2, pairs
 
 
+@pytest.mark.parametrize("most", [None, -1])
+def test_components_of_few_edges_take_two_writes(spark, monkeypatch, most):
+    """A chain, a hub and a random graph: in one task, and by stars; the task needs no rounds of jobs."""
+    if most is not None:
+        monkeypatch.setattr(nd, "EDGE_BYTES", most, raising=False)
+    rng = random.Random(10)
+    pairs = [(i, i + 1) for i in range(0, 300)] + [(1000, 1001 + i) for i in range(200)] + [(2000 + rng.randrange(900), 2000 + rng.randrange(900)) for _ in range(420)] + [(5, 5)]
+    rng.shuffle(pairs)
+    label = {x: x for p in pairs for x in p if p[0] != p[1]}
+    while any(label[a] != label[b] for a, b in pairs if a != b):
+        for a, b in pairs:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    writes = []
+    monkeypatch.setattr(nd, "staged", lambda df, name, f=nd.staged: writes.append(name) or f(df, name))
+    got = {r.node: r.label for r in nd.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert all(got.get(x, x) == y for x, y in label.items()) and got.keys() <= label.keys()
+    assert most is not None or len(writes) == 2
+    assert not nd.components(spark.createDataFrame([], "a long, b long")).collect()
+
+
 def test_overlaps_of_sets():
     rng = np.random.default_rng(9)
     for shape, most in (((40, 70), 60), ((300, 200), 40000), ((1, 50), 900)):

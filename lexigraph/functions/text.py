@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
-from itertools import accumulate
 from string import ascii_letters, digits
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -141,21 +143,25 @@ def porter_stem(word: str) -> str:
     return _Stem(word).run()
 
 
-def _stems(words: pd.Series) -> pd.Series:
-    codes, kinds = pd.factorize(words)
-    stems = pd.Series([porter_stem(w) for w in kinds] + [None], dtype=object)
-    return stems.take(codes).reset_index(drop=True)
+#: Lists whose words are stemmed together; what a Python worker holds beyond an Arrow batch doesn't grow with the batch.
+LISTS = 1000
 
 
-def _stem_lists(lists: pd.Series) -> pd.Series:
-    sizes = [0 if x is None else len(x) for x in lists]
-    flat = _stems(pd.Series([w for x in lists if x is not None for w in x], dtype=object)).to_numpy()
-    ends = list(accumulate(sizes))
-    return pd.Series([None if x is None else flat[e - n : e] for x, n, e in zip(lists, sizes, ends)], dtype=object)
+def _stems(words: pa.Array) -> pa.Array:
+    """Only the distinct words become Python strings."""
+    coded = words.dictionary_encode()
+    return pa.array([porter_stem(w) for w in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
 
 
-_stem_udf = F.pandas_udf(_stems, StringType())
-_stem_lists_udf = F.pandas_udf(_stem_lists, ArrayType(StringType()))
+def _stem_lists(lists: pa.Array) -> pa.Array:
+    parts = [lists[k : k + LISTS] for k in range(0, len(lists), LISTS)]
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    stems = pa.concat_arrays([_stems(x.flatten().cast(pa.string())) for x in parts] or [pa.array([], pa.string())])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), stems, mask=lists.is_null())
+
+
+_stem_udf = F.arrow_udf(_stems, StringType())
+_stem_lists_udf = F.arrow_udf(_stem_lists, ArrayType(StringType()))
 
 
 def stem(words: Column | str) -> Column:

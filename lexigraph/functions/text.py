@@ -177,6 +177,19 @@ def cleaned_tokens(text: Column | str) -> Column:
     return F.split(F.lower(F.regexp_replace(text, _OTHER, "")), r"\s+")
 
 
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once a row, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def counted(items: Column) -> Column:
+    """The distinct items of a list and how often each is in it, as structs (stem, n), by a sort of the list: no rows are
+    moved to count them."""
+    last = lambda s: F.filter(F.sequence(F.lit(0), F.size(s)), lambda i: (i > 0) & ~F.get(s, i).eqNullSafe(F.get(s, i - 1)))
+    runs = lambda s, ends: F.transform(ends, lambda e, k: F.struct(F.get(s, e - 1).alias("stem"), (e - F.coalesce(F.get(ends, k - 1), F.lit(0))).cast("long").alias("n")))
+    return _bind(F.sort_array(items), lambda s: _bind(last(s), lambda ends: runs(s, ends)))
+
+
 def distinct_terms(text: Column | str, stemmed: bool = True) -> Column:
     """The distinct telling terms of a text, as a list: no rows are moved to find them."""
     terms = F.array_distinct(cleaned_tokens(text))

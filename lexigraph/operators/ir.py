@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_text, distinct_terms, telling, term_lists, tokenize
+from ..functions.text import clean_text, counted, distinct_terms, telling, term_lists
+from ..storage import small, staged
 
 #: The corpus size the source system assumes.
 N_DOCS = 10_326_522
@@ -13,17 +14,33 @@ TFIDF_BOUNDS = (2.011063703278, 494.130787450104)
 TURANK_BOUNDS = (0.18503099884985902, 81.62800157711727)
 
 
-def term_counts(tweets: DataFrame, stemmed: bool = True) -> DataFrame:
-    """row, uid, tid, stem, n: each row's telling terms, from one pass over the texts and one exchange. row numbers the
-    rows of this run, so write the result before it is read twice."""
-    numbered = tweets.select(F.monotonically_increasing_id().alias("row"), "uid", "tid", "text")
-    rows = numbered.select("row", "uid", "tid", F.explode(term_lists("text", stemmed)).alias("stem"))
-    return rows.where(telling(F.col("stem"))).groupBy("row", "uid", "tid", "stem").agg(F.count("*").alias("n"))
+def term_counts(tweets: DataFrame, stemmed: bool = True, also: DataFrame | None = None) -> DataFrame:
+    """uid, tid, stem, tf, rows: a telling term's count in the rows of a (uid, tid), and how many of them hold it.
+
+    Terms are counted within their row, so none is moved; only those of keys that several rows have are, to be added up.
+    also: columns by tid, a row a tid, that go along (null where it has none).
+    """
+    keys = ["uid", "tid", *([] if also is None else [c for c in also.columns if c != "tid"])]
+
+    def within(rows: DataFrame) -> DataFrame:
+        rows = rows if also is None else rows.join(also, "tid", "left")
+        return rows.select(*keys, F.inline(counted(term_lists("text", stemmed)))).where(telling(F.col("stem")))
+
+    def one(rows: DataFrame) -> DataFrame:
+        return within(rows).select(*keys, "stem", F.col("n").alias("tf"), F.lit(1).cast("long").alias("rows"))
+
+    several = tweets.groupBy("uid", "tid").agg(F.count("*").alias("n")).where("n > 1")
+    several = staged(several.select(F.col("uid").alias("_u"), F.col("tid").alias("_t")), "repeated")
+    if several.isEmpty():
+        return one(tweets)
+    same, several = F.col("uid").eqNullSafe(F.col("_u")) & F.col("tid").eqNullSafe(F.col("_t")), small(several)
+    added = within(tweets.join(several, same, "left_semi")).groupBy(*keys, "stem").agg(F.sum("n").alias("tf"), F.count("*").alias("rows"))
+    return one(tweets.join(several, same, "left_anti")).unionByName(added)
 
 
 def term_frequency(tweets: DataFrame, stemmed: bool = True) -> DataFrame:
     """stem, uid, tid, tf; repeated (uid, tid) rows add up."""
-    return tokenize(tweets.select("uid", "tid", "text"), stemmed).groupBy("stem", "uid", "tid").agg(F.count("*").alias("tf"))
+    return term_counts(tweets, stemmed).select("stem", "uid", "tid", "tf")
 
 
 def document_frequency(tweets: DataFrame, stemmed: bool = True) -> DataFrame:
@@ -31,9 +48,10 @@ def document_frequency(tweets: DataFrame, stemmed: bool = True) -> DataFrame:
     return tweets.select(F.explode(distinct_terms("text", stemmed)).alias("stem")).groupBy("stem").agg(F.count("*").alias("df"))
 
 
-def frequencies_of(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(stem, uid, tid, tf) and (stem, df) from term_counts."""
-    return counts.groupBy("stem", "uid", "tid").agg(F.sum("n").alias("tf")), counts.groupBy("stem").agg(F.count("*").alias("df"))
+def with_df(counts: DataFrame) -> DataFrame:
+    """term_counts with df, the rows that hold the stem. The rows are moved once, by stem, and a stem's are then in one task,
+    which holds them on disk where memory ends; a filter on stem goes before the move."""
+    return counts.withColumn("df", F.sum("rows").over(Window.partitionBy("stem")))
 
 
 def idf(frequencies: DataFrame, n_docs: int | Column) -> DataFrame:

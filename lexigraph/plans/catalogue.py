@@ -108,7 +108,7 @@ def _unstemmed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _combined(spark: SparkSession, d: str) -> DataFrame:
-    return ir.combine(ir.normalise_tfidf(_unstemmed(spark, d)), _scaled(spark, d))
+    return pipelines.score_terms(tweets(spark, d), _scaled(spark, d), tfidf_bounds=ir.TFIDF_BOUNDS, stemmed=False)
 
 
 _COMBINED = """, ranks AS (SELECT tid, (tid % 97 + 0.25)::DOUBLE AS turank FROM tweets),

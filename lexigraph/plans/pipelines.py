@@ -48,13 +48,16 @@ def score_terms(tweets: DataFrame, ranks: DataFrame | None = None, n_docs: int |
     the weight alone.
     """
     n = tweets.count() if n_docs is None else n_docs
-    tf, df = ir.frequencies_of(staged(ir.term_counts(tweets, stemmed), "terms"))
-    weights = ir.tfidf(tf, ir.idf(df, n))
+    # ranks meet the texts, not their terms; a text without a rank still counts in df, one with several counts once
+    lists = None if ranks is None else ranks.groupBy("tid").agg(F.collect_list(F.struct("turank")).alias("ranks"))
+    weighted = ir.with_df(ir.term_counts(tweets, stemmed, lists))
+    weight = F.col("tf") * F.log(F.lit(n) / F.col("df"))
     if tfidf_bounds:
-        weights = ir.normalise_tfidf(weights, tfidf_bounds)
+        weight = ir.min_max(weight, *tfidf_bounds)
     if ranks is None:
-        return weights.withColumnRenamed("tfidf", "score")
-    return ir.combine(weights, ranks, rank_bounds)
+        return weighted.select("stem", "tid", weight.alias("score"))
+    each = weighted.select("stem", "tid", weight.alias("tfidf"), F.inline("ranks"))
+    return each.select("stem", "tid", (ir.min_max(F.col("turank"), *rank_bounds) + F.col("tfidf")).alias("score"))
 
 
 def write_search_tables(spark: SparkSession, combined: DataFrame, tweets: DataFrame, out: str, buckets: int = stores.BUCKETS) -> None:

@@ -44,3 +44,8 @@ def test_ranks_meet_texts(spark, tweets):
     want = ir.combine(ir.normalise_tfidf(pipelines.score_terms(tweets).withColumnRenamed("score", "tfidf"), (0.1, 2.0)), ranks)
     fix = lambda df: sorted(((r.stem, r.tid, r.score and round(r.score, 9)) for r in df.collect()), key=repr)
     assert fix(got) == fix(want) and len(fix(got)) == 9
+
+
+def test_chunks_move_scores_once(spark, tweets):
+    scores = pipelines.score_terms(tweets.where("tid < 12"))
+    assert len(moves(ir.build_index(scores, chunk=1))) == 2  # by stem, then a stem's chunks apart

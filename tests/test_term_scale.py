@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from lexigraph.functions import text as tx
 from lexigraph.operators import ir
 from lexigraph.plans import pipelines
+from lexigraph.sources import stores
 
 
 def moves(df):
@@ -49,3 +50,18 @@ def test_ranks_meet_texts(spark, tweets):
 def test_chunks_move_scores_once(spark, tweets):
     scores = pipelines.score_terms(tweets.where("tid < 12"))
     assert len(moves(ir.build_index(scores, chunk=1))) == 2  # by stem, then a stem's chunks apart
+
+
+def test_search_tables_score_once(spark, tweets, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    scores = pipelines.score_terms(tweets).mapInArrow(count, "stem string, tid long, score double").repartition(2)
+    pipelines.write_search_tables(spark, scores, tweets, str(tmp_path), buckets=3)
+    written = spark.read.parquet(f"{tmp_path}/index").count()
+    assert seen.value == written == spark.read.parquet(f"{tmp_path}/terms").count()
+    assert stores.read_term(spark, f"{tmp_path}/terms", "run").columns == ["stem", "tid", "score"]
